@@ -30,5 +30,19 @@ FROM judged
 """
 
 
+OP3 = r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), rules(verdict, h, p) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+)
+SELECT page_id, host, path,
+  (SELECT h || rules.p FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p) ORDER BY length(h || rules.p) DESC LIMIT 1) AS rule,
+  coalesce((SELECT verdict FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p) ORDER BY length(h || rules.p) DESC LIMIT 1), 'allow') AS verdict
+FROM p
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": OP8}
+    return {"op3_url_filters": OP3, "op8_quality_rules": OP8}
