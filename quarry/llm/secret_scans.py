@@ -166,3 +166,23 @@ def scan_secrets(docs: DataFrame, *, keep: list[str] = ("doc_id",), text: str =
         return run
 
     return per_text(docs, list(keep), text, make, "found array<struct<kind:string,start:long,end:long,base:boolean>>, base_sha256 string")
+
+
+def redacted(text: str, mark: str) -> str:
+    """text with the union of its spans replaced by mark."""
+    out, at = [], 0
+    for s, e, _ in listed(base_spans(text) | confirmed_spans(text)):
+        if s >= at:
+            out += [text[at:s], mark]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, *, keep: list[str] = ("doc_id",), text: str = "text", mark: str = "[secret]") -> DataFrame:
+    """keep columns and text with every secret replaced by mark, of every row; null
+    texts become empty, texts without secrets stay as they are."""
+
+    def make():
+        return lambda texts: {"text": [redacted(t, mark) for t in texts]}
+
+    return per_text(docs, list(keep), text, make, "text string")

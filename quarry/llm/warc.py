@@ -74,12 +74,13 @@ def payload_of(block: bytes) -> bytes | None:
     return body
 
 
-def segments(block: bytes, size: int = SEGMENT_BYTES) -> list[bytes]:
+def segments(block: bytes, size: int) -> list[bytes]:
     """block in parts of about size bytes, none of which starts like a record."""
     out, at = [], 0
     while at < len(block) or not out:
         end = at + size
-        if block[end : end + 7] == b"WARC/1.":
+        # after the line breaks that end a record's fields
+        while block.startswith((b"WARC/1.", b"\r\nWARC/1."), end):
             end += 1
         out.append(block[at:end])
         at = end
@@ -94,7 +95,7 @@ def record(kind: str, fields: dict[str, str | None], block: bytes) -> bytes:
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + END.encode() + block
 
 
-def page_records(page_id: str | None, url: str | None, payload: bytes, first: str | None, digest32: str, date: str) -> Iterator[bytes]:
+def page_records(page_id: str | None, url: str | None, payload: bytes, first: str | None, digest32: str, date: str, size: int) -> Iterator[bytes]:
     """The records of a page: a revisit of page first, or a response in segments."""
     own = f"<urn:uuid:{uuid.uuid4()}>"
     fields = {"WARC-Record-ID": own, "WARC-Date": date, "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{digest32}", "X-Page-ID": page_id}
@@ -103,7 +104,7 @@ def page_records(page_id: str | None, url: str | None, payload: bytes, first: st
         yield record("revisit", fields | {"WARC-Profile": profile, "X-Refers-To-Page-ID": first}, b"")
         return
     block = HTTP + chunked(payload)
-    parts = segments(block)
+    parts = segments(block, size)
     fields["Content-Type"] = "application/http;msgtype=response"
     if len(parts) == 1:
         yield record("response", fields, block)
@@ -116,7 +117,7 @@ def page_records(page_id: str | None, url: str | None, payload: bytes, first: st
         yield record("continuation", more, part)
 
 
-def write(pages: DataFrame, path: str, *, payload: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
+def write(pages: DataFrame, path: str, *, payload: str = "html", min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write pages (page_id, url, payload) as WARC records under path.
 
     Of pages with equal payloads of at least min_bytes bytes, that with the
@@ -136,7 +137,7 @@ def write(pages: DataFrame, path: str, *, payload: str = "html", min_bytes: int
             for at in range(0, b.num_rows, 64):  # so that a batch of records stays small
                 some, out = b.slice(at, 64).to_pylist(), []
                 for r in some:
-                    out += page_records(r["page_id"], r["url"], r["data"] or b"", r["first"], base64.b32encode(r["sha"]).decode(), date)
+                    out += page_records(r["page_id"], r["url"], r["data"] or b"", r["first"], base64.b32encode(r["sha"]).decode(), date, segment_bytes)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     text = met.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
