@@ -128,3 +128,14 @@ def matched_intents(questions: DataFrame, patterns: dict[str, str], text: str =
     regard to case) that the text matches, in order of name."""
     hits = [F.when(F.coalesce(F.col(text), F.lit("")).rlike(f"(?i){p}"), F.lit(n)) for n, p in sorted(patterns.items())]
     return questions.withColumn("intents", F.array_compact(F.array(*hits)))
+
+
+def matched_values(questions: DataFrame, index: DataFrame, longest: int = 4, text: str = "text") -> DataFrame:
+    """questions with matches: (norm, fields) of the indexed values that a question
+    holds as a phrase of up to longest words. Phrases meet values by equality."""
+    words = F.filter(F.split(normalized(F.coalesce(F.col(text), F.lit(""))), " "), lambda w: w != "")
+    ends = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(w, lambda _, i: F.when(i + n <= F.size(w), F.array_join(F.slice(w, i + 1, n), " ")))))
+    rows = questions.withColumn("__id", F.monotonically_increasing_id())
+    phrases = rows.select("__id", words.alias("w")).select("__id", F.explode(F.array_distinct(F.array_compact(ends(F.col("w"))))).alias("norm"))
+    found = phrases.join(index, "norm").groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("norm", "fields"))).alias("matches"))
+    return rows.join(found, "__id", "left").drop("__id")

@@ -7,6 +7,8 @@ subqueries, set operations and recursive parts alike.
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -75,10 +77,22 @@ def checked(spark: SparkSession, query: str) -> None:
         raise ScopeError(f"functions that are not allowed: {sorted(bad)}")
 
 
-def run(own: SparkSession, query: str, params: dict | None = None, most_rows: int = 1000) -> tuple[list, bool]:
-    """(rows, truncated) of a checked query in a scoped session, most_rows at most."""
+def run(own: SparkSession, query: str, params: dict | None = None, most_rows: int = 1000, seconds: float | None = None) -> tuple[list, bool]:
+    """(rows, truncated) of a checked query in a scoped session, most_rows at most. A
+    query that takes longer than seconds is interrupted and fails."""
     checked(own, query)
-    rows = own.sql(query, args=params or {}).limit(most_rows + 1).collect()
+    tag = f"query-{uuid.uuid4().hex}"
+    context = own.sparkContext
+    timer = threading.Timer(seconds, context.cancelJobsWithTag, [tag]) if seconds else None
+    context.addJobTag(tag)
+    try:
+        if timer:
+            timer.start()
+        rows = own.sql(query, args=params or {}).limit(most_rows + 1).collect()
+    finally:
+        context.removeJobTag(tag)
+        if timer:
+            timer.cancel()
     return rows[:most_rows], len(rows) > most_rows
 
 

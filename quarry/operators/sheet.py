@@ -151,3 +151,32 @@ def distinct_list(sheet: DataFrame, columns: list[str], limit: int = 50) -> Data
     """Distinct rows of columns that are not all blank, by first appearance."""
     some = F.concat_ws("", *(F.trim(F.col(c)) for c in columns)) != ""
     return sheet.filter(some).groupBy(*columns).agg(F.min("row_index").alias("__first")).orderBy("__first").limit(limit).drop("__first")
+
+
+#: Names of columns that are not shown unless they are asked for.
+SENSITIVE = re.compile(r"(^|_)(password|passwd|secret|token|ssn|iban|passport|salary|api_?key)(_|$)")
+
+
+def shown_columns(profiled: list, kinds_: dict[str, str], rows: int, most: int = 4) -> list[str]:
+    """Columns that tell a row best, of collected profile rows: filled ones first, a
+    name or identifier ahead of others, texts that differ, never sensitive ones."""
+
+    def worth(r) -> float:
+        label = r["column"].replace("_", " ")
+        named = 2.0 * bool(re.search(r"\b(name|title|label|customer|product)\b", label)) + 0.5 * bool(ID_LABEL.search(label))
+        return r["filled"] / max(rows, 1) + named + 0.5 * (kinds_[r["column"]] == "text") * min(1.0, r["distinct_values"] / max(r["filled"], 1))
+
+    open_ = [r for r in profiled if not SENSITIVE.search(r["column"])]
+    return [r["column"] for r in sorted(open_, key=lambda r: (-worth(r), r["column"]))[:most]]
+
+
+def suggestions(profiled: list, kinds_: dict[str, str]) -> list[str]:
+    """Questions that the columns invite: a measure by a category, by month, a count."""
+    rows = {r["column"]: r for r in profiled if not SENSITIVE.search(r["column"])}
+    of = lambda kind, ok=lambda r: True: sorted((c for c, r in rows.items() if kinds_[c] == kind and ok(r)), key=lambda c: (-rows[c]["filled"], c))
+    measures, times = of("number"), of("date")
+    groups = of("text", lambda r: 2 <= r["distinct_values"] <= max(2, r["filled"] // 2))
+    read = lambda c: c.replace("_", " ")
+    out = [f"total {read(m)} by {read(g)}" for m in measures[:1] for g in groups[:2]]
+    out += [f"total {read(m)} by month of {read(d)}" for m in measures[:1] for d in times[:1]]
+    return out + [f"how many rows by {read(g)}" for g in groups[:1]]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import questions
 from quarry.jobs import catalog
 from quarry.queries.registry import Tables, query
 from quarry.sources.store import upserted
@@ -114,3 +115,23 @@ def upsert_last_write_wins(t: Tables) -> DataFrame:
 @query("""SELECT 'region' AS "table", sha256('r_name:string,r_regionkey:int') AS hash UNION ALL SELECT 'nation', sha256('n_name:string,n_nationkey:int,n_regionkey:int')""")
 def schema_hashes(t: Tables) -> DataFrame:
     return catalog.schema_hash(columns({"region": t.region, "nation": t.nation}))
+
+
+@query(r"""WITH q AS (SELECT c_custkey, 'customers of ' || n_name || ' in the ' || c_mktsegment || ' segment' AS text, n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey, list_sort([trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')), lower(c_mktsegment)]) AS found FROM q""")
+def values_in_questions(t: Tables) -> DataFrame:
+    index = catalog.value_index({n: getattr(t, n) for n in TABLES}, [("nation", "n_name"), ("customer", "c_mktsegment")])
+    both = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    asked = both.select("c_custkey", F.concat(F.lit("customers of "), "n_name", F.lit(" in the "), "c_mktsegment", F.lit(" segment")).alias("text"))
+    found = catalog.matched_values(asked, index)
+    return found.select("c_custkey", F.array_sort(F.transform("matches", lambda m: m["norm"])).alias("found"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'lt' ELSE 'gt' END AS op, CAST(o_custkey AS DOUBLE) AS low, CAST(o_custkey % 20 + 1 AS INTEGER) AS n,
+make_timestamp(year(o_orderdate), quarter(o_orderdate) * 3 - 2, 1, 0, 0, 0) AS start FROM orders""")
+def phrases_in_questions(t: Tables) -> DataFrame:
+    word = F.when(F.col("o_orderpriority") == "5-LOW", "fewer than").otherwise("more than")
+    asked = F.concat_ws(" ", F.lit("Top"), F.col("o_custkey") % 20 + 1, F.lit("customers with"), word, F.col("o_custkey"), F.lit("orders in"), F.concat(F.lit("Q"), F.quarter("o_orderdate")), F.year("o_orderdate"))
+    rows = t.orders.select("o_orderkey", asked.alias("text"))
+    said, when = questions.comparison(F.col("text")), questions.window(F.col("text"))
+    return rows.select("o_orderkey", said["op"].alias("op"), said["low"].alias("low"), questions.row_limit(F.col("text")).alias("n"), when["start"].alias("start"))

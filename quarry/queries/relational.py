@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import dates
 from quarry.operators import relational as rel
+from quarry.operators.metrics import Metric, Metrics
 from quarry.operators.scope import Scope, scoped_session
 from quarry.plans.query import Condition, Item, Plan, Relationship, compiled
 from quarry.queries.registry import Tables, query
@@ -304,3 +305,17 @@ def percentiles(t: Tables) -> DataFrame:
     return t.customer.groupBy("c_mktsegment").agg(p(0.5).alias("median"), p(0.9).alias("high"))
 
 
+
+
+METRICS = Metrics(
+    Metric("revenue", "orders", "aggregate", "sum", "o_totalprice"), Metric("customers", "orders", "aggregate", "count_distinct", "o_custkey"),
+    Metric("urgent_percent", "orders", "conditional_rate", column="o_orderkey", condition=("o_orderpriority", "=", ("1-URGENT",)), scale=100.0),
+    Metric("large_orders", "orders", "aggregate", "count", where=("o_totalprice", ">", (200000,))),
+)
+
+
+@query("""SELECT o_orderstatus, round(sum(o_totalprice), 2) AS revenue, count(DISTINCT o_custkey) AS customers, 100.0 * count(*) FILTER (o_orderpriority = '1-URGENT') / count(o_orderkey) AS urgent_percent,
+nullif(count(*) FILTER (o_totalprice > 200000), 0) AS large_orders FROM orders GROUP BY 1""")
+def governed_metrics(t: Tables) -> DataFrame:
+    out = METRICS.computed(["revenue", "customers", "urgent_percent", "large_orders"], {"orders": t.orders}, ["o_orderstatus"])
+    return out.withColumn("revenue", F.round("revenue", 2))

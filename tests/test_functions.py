@@ -5,8 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.functions import dates, text, values
-from quarry.sources import sheets, tables
+from quarry.functions import dates, questions, text, values
+from quarry.sources import fragments, sheets, tables
 
 
 def applied(spark, f, inputs):
@@ -75,3 +75,30 @@ def test_sample_values_leave_private_columns_out(spark):
     df = spark.createDataFrame([("a@b", "x", 1), ("c@d", "X", 2), (None, None, None)], "email string, status string, n int")
     got = tables.sample_values(df, "t").collect()
     assert sorted((r["column"], r["value"]) for r in got) == [("n", "1"), ("n", "2"), ("status", "X"), ("status", "x")]
+
+
+def test_phrases_of_questions(spark):
+    cases = {
+        "Top 5 customers by revenue over $1,000": ("gt", 1000.0, None, 5, True, None), "orders between 10 and 20": ("between", 10.0, 20.0, None, None, None),
+        "which region has the lowest sales": (None, None, None, 1, False, None), "how many orders in 2024": (None, None, None, None, None, "2024-01-01 2025-01-01"),
+        "sales in Q4 2023": (None, None, None, None, None, "2023-10-01 2024-01-01"), "revenue for December 2023, at least 3": ("ge", 3.0, None, None, None, "2023-12-01 2024-01-01"),
+        "": (None,) * 6, None: (None,) * 6,
+    }
+    df = spark.createDataFrame([(k, q) for k, q in enumerate(cases)], "k int, q string")
+    q = F.col("q")
+    when = questions.window(q)
+    span = F.concat_ws(" ", F.date_format(when["start"], "yyyy-MM-dd"), F.date_format(when["end"], "yyyy-MM-dd"))
+    said = questions.comparison(q)
+    got = df.select("k", said["op"], said["low"], said["high"], questions.row_limit(q), questions.descending(q), F.when(when.isNotNull(), span)).orderBy("k").collect()
+    assert [tuple(r)[1:] for r in got] == list(cases.values())
+    asked = ["how many distinct users", "number of users", "average age", "total of sales", "max price", "list users"]
+    assert applied(spark, questions.aggregate, asked) == ["count_distinct", "count", "avg", "sum", "max", None]
+    assert applied(spark, questions.presence, ["rows without a date", "users with email", "users"]) == ["blank", "present", None]
+
+
+def test_fragments_are_grounded(spark, tmp_path):
+    (tmp_path / "v.jsonl").write_text('{"term": "sales", "target": "orders"}\n{"term": "ghost", "target": "nowhere"}\nnot json\n{"term": " ", "target": "orders"}\n')
+    (tmp_path / "d.csv").write_text('original_column_name,column_name,column_description\no_id,order id,"the ""key"""\nzz,other,other\n')
+    known = spark.createDataFrame([("orders",), ("orders.o_id",)], "target string")
+    assert [(r["term"], r["target"], r["confidence"]) for r in fragments.read_vocabulary(spark, str(tmp_path / "v.jsonl"), known).collect()] == [("sales", "orders", 0.5)]
+    assert sorted(r["term"] for r in fragments.read_descriptions(spark, str(tmp_path / "d.csv"), "orders", known).collect()) == ["order id", 'the "key"']

@@ -201,3 +201,39 @@ def test_stream_of_events(spark, tmp_path):
 def test_scopes_of_dates(spark):
     df = spark.createDataFrame([("2024-01-01",), ("2024-01-02",), (None,)], "d string").withColumn("d", F.col("d").cast("timestamp_ntz"))
     assert df.filter(dates.within(F.col("d"), dates.day("2024-01-01"), dates.day("2024-01-02"))).count() == 1
+
+
+def test_metrics(spark, business):
+    from quarry.operators.metrics import Metric, Metrics
+
+    t, _ = business
+    m = Metrics(Metric("total", "invoices", "aggregate", "sum", "amount"), Metric("paid", "invoices", "conditional_rate", condition=("status", "=", ("paid",))), Metric("large", "invoices", "aggregate", "count", where=("amount", ">", (8,))))
+    assert tuple(m.computed(["total", "paid", "large"], t).first()) == (22.0, pytest.approx(2 / 3), 1)
+    got = {r["account_id"]: (r["total"], r["large"]) for r in m.computed(["total", "large"], t, ["account_id"]).collect()}
+    assert got == {1: (15.0, 1), 2: (7.0, None)}
+    for bad in (lambda: m.computed(["x"], t), lambda: Metrics(Metric("a", "t", "aggregate"), Metric("a", "t", "aggregate")), lambda: Metric("a", "t", "other").measure()):
+        with pytest.raises(PlanError):
+            bad()
+
+
+def test_shown_columns_and_suggestions(revenue):
+    profiled = sheet.profile(revenue)
+    kinds = sheet.kinds(profiled)
+    rows = profiled.collect()
+    assert sheet.shown_columns(rows, kinds, 5, 2)[0] == "order_id"
+    assert sheet.suggestions(rows, kinds) == ["total revenue by region", "total revenue by month of order date", "how many rows by region"]
+
+
+def test_long_queries_are_interrupted(spark, tmp_path):
+    loaders, rules = scoped(spark, tmp_path)
+    own = scope.scoped_session(spark, loaders, rules, {"tenant": "t1"})
+    slow = "SELECT count(*) FROM range(30000000000) a WHERE hash(id) = 1"
+    with pytest.raises(Exception, match="(?i)cancel|interrupt"):
+        scope.run(own, slow, seconds=1.0)
+
+
+def test_values_in_questions(spark):
+    index = spark.createDataFrame([("new york", ["city.name"]), ("york", ["city.name", "duke.name"])], "norm string, fields array<string>")
+    asked = spark.createDataFrame([(1, "Sales in New  York?"), (2, None), (3, "yorkshire")], "id int, text string")
+    got = {r["id"]: r["matches"] and [m["norm"] for m in r["matches"]] for r in catalog.matched_values(asked, index).collect()}
+    assert got == {1: ["new york", "york"], 2: None, 3: None}
