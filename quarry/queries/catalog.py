@@ -40,15 +40,15 @@ def sample_distinct_values(t: Tables) -> DataFrame:
 @query(r"""WITH v AS (SELECT DISTINCT trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS norm, f FROM (
 SELECT r_name AS x, 'region.r_name' AS f FROM region UNION ALL SELECT n_name, 'nation.n_name' FROM nation UNION ALL SELECT c_mktsegment, 'customer.c_mktsegment' FROM customer
 UNION ALL SELECT o_orderstatus, 'orders.o_orderstatus' FROM orders UNION ALL SELECT o_orderpriority, 'orders.o_orderpriority' FROM orders UNION ALL SELECT p_type, 'part.p_type' FROM part))
-SELECT norm, list_sort(list(f)) AS fields FROM v WHERE length(norm) BETWEEN 2 AND 100 GROUP BY norm""")
+SELECT norm, array_to_string(list_sort(list(f)), ',') AS fields FROM v WHERE length(norm) BETWEEN 2 AND 100 GROUP BY norm""")
 def value_index(t: Tables) -> DataFrame:
     fields = [("region", "r_name"), ("nation", "n_name"), ("customer", "c_mktsegment"), ("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("part", "p_type")]
-    return catalog.value_index({n: getattr(t, n) for n in TABLES}, fields)
+    return catalog.value_index({n: getattr(t, n) for n in TABLES}, fields).withColumn("fields", F.array_join("fields", ","))
 
 
-@query(r"""SELECT trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS norm, list_sort(list(DISTINCT p_brand)) AS refs, count(DISTINCT p_brand) > 1 AS ambiguous FROM part GROUP BY 1""")
+@query(r"""SELECT trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS norm, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS refs, count(DISTINCT p_brand) > 1 AS ambiguous FROM part GROUP BY 1""")
 def ambiguous_labels(t: Tables) -> DataFrame:
-    return catalog.label_index(t.part.select(F.col("p_type").alias("label"), F.col("p_brand").alias("ref")))
+    return catalog.label_index(t.part.select(F.col("p_type").alias("label"), F.col("p_brand").alias("ref"))).withColumn("refs", F.array_join("refs", ","))
 
 
 @query("""WITH e AS (SELECT p_type AS term, p_brand AS target, p_size % 3 AS layer, p_retailprice AS confidence, p_partkey AS source FROM part),
@@ -60,11 +60,11 @@ def vocabulary_merge(t: Tables) -> DataFrame:
     return catalog.merged_vocabulary(entries)
 
 
-@query("""SELECT 'sales' AS base, 'year' AS anchor, ['sales_year_' || y FOR y IN [1995, 1996, 1997, 1998, 1999, 2000, 2001]] AS members, 7 AS n""")
+@query("""SELECT 'sales' AS base, 'year' AS anchor, array_to_string(['sales_year_' || y FOR y IN [1995, 1996, 1997, 1998, 1999, 2000, 2001]], ',') AS members, 7 AS n""")
 def table_families(t: Tables) -> DataFrame:
     years = t.orders.select(F.concat(F.lit("sales_year_"), F.year("o_orderdate").cast("string")).alias("table")).distinct()
     names = years.unionByName(t.spark.createDataFrame([("orders",), ("sales_half_1",)], "table string"))
-    return catalog.families(names)
+    return catalog.families(names).withColumn("members", F.array_join("members", ","))
 
 
 @query("""SELECT * FROM (VALUES ('supplier', 'custkey', 'missing'), ('supplier', 'mktsegment', 'missing'), ('supplier', 'suppkey', 'extra'),
@@ -82,33 +82,33 @@ def uncovered_entities(t: Tables) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT user_id, event_type, least(sum(value) / 1000, 1.0) AS a FROM events GROUP BY ALL)
-SELECT CAST(user_id AS VARCHAR) AS "table", least(sum(a * CASE event_type WHEN 'click' THEN 0.2 WHEN 'purchase' THEN 0.5 WHEN 'view' THEN 0.1 ELSE 0 END), 1.0) AS score FROM k GROUP BY 1""")
+SELECT CAST(user_id AS VARCHAR) AS "table", round(least(sum(a * CASE event_type WHEN 'click' THEN 0.2 WHEN 'purchase' THEN 0.5 WHEN 'view' THEN 0.1 ELSE 0 END), 1.0), 6) AS score FROM k GROUP BY 1""")
 def activity_scores(t: Tables) -> DataFrame:
     evidence = t.events.select(F.col("user_id").cast("string").alias("table"), F.col("event_type").alias("kind"), (F.col("value") / 1000).alias("amount"))
-    return catalog.activity(evidence, {"click": 0.2, "purchase": 0.5, "view": 0.1})
+    return catalog.activity(evidence, {"click": 0.2, "purchase": 0.5, "view": 0.1}).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH b AS (SELECT c_nationkey AS question, c_name AS target, c_acctbal AS score, c_acctbal + CASE WHEN contains(lower(c_name), '7') THEN 500.0 ELSE 0 END AS biased FROM customer)
+@query("""WITH b AS (SELECT c_nationkey AS question, c_name AS target, c_acctbal AS score, round(c_acctbal + CASE WHEN contains(lower(c_name), '7') THEN 500.0 ELSE 0 END, 4) AS biased FROM customer)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY biased DESC, target) AS place FROM b) WHERE place <= 3""")
 def biased_ranking(t: Tables) -> DataFrame:
     candidates = t.customer.select(F.col("c_nationkey").alias("question"), F.col("c_name").alias("target"), F.col("c_acctbal").alias("score"))
-    return catalog.biased_ranking(candidates, {"7": 500.0}, 3)
+    return catalog.biased_ranking(candidates, {"7": 500.0}, 3).withColumn("biased", F.round("biased", 4))
 
 
 #: Names of question patterns and what they match.
 PATTERNS = {"count": r"\b(how many|count of|number of)\b", "list": r"\b(list|show|give) (me|all)?", "top": r"\b(top|best|highest|most)\b", "missing": r"\b(without|missing|no)\b"}
 
 
-@query(r"""SELECT conv_id, turn, list_filter([CASE WHEN regexp_matches(text, '(?i)\b(how many|count of|number of)\b') THEN 'count' END, CASE WHEN regexp_matches(text, '(?i)\b(list|show|give) (me|all)?') THEN 'list' END,
-CASE WHEN regexp_matches(text, '(?i)\b(without|missing|no)\b') THEN 'missing' END, CASE WHEN regexp_matches(text, '(?i)\b(top|best|highest|most)\b') THEN 'top' END], lambda x: x IS NOT NULL) AS intents FROM conversations""")
+@query(r"""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)\b(how many|count of|number of)\b') THEN 'count' END, CASE WHEN regexp_matches(text, '(?i)\b(list|show|give) (me|all)?') THEN 'list' END,
+CASE WHEN regexp_matches(text, '(?i)\b(without|missing|no)\b') THEN 'missing' END, CASE WHEN regexp_matches(text, '(?i)\b(top|best|highest|most)\b') THEN 'top' END], lambda x: x IS NOT NULL), ',') AS intents FROM conversations""")
 def question_intents(t: Tables) -> DataFrame:
-    return catalog.matched_intents(t.conversations, PATTERNS).select("conv_id", "turn", "intents")
+    return catalog.matched_intents(t.conversations, PATTERNS).select("conv_id", "turn", F.array_join("intents", ",").alias("intents"))
 
 
-@query("""SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_acctbal <= 0 UNION ALL SELECT c_custkey, 'PREFERRED', c_acctbal * 2 FROM customer WHERE c_acctbal > 0""")
+@query("""SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_acctbal <= 0 UNION ALL SELECT c_custkey, 'PREFERRED', round(c_acctbal * 2, 4) FROM customer WHERE c_acctbal > 0""")
 def upsert_last_write_wins(t: Tables) -> DataFrame:
     old = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal")
-    new = old.filter("c_acctbal > 0").withColumns({"c_mktsegment": F.lit("PREFERRED"), "c_acctbal": F.col("c_acctbal") * 2})
+    new = old.filter("c_acctbal > 0").withColumns({"c_mktsegment": F.lit("PREFERRED"), "c_acctbal": F.round(F.col("c_acctbal") * 2, 4)})
     return upserted(old, new, ["c_custkey"])
 
 
@@ -118,20 +118,20 @@ def schema_hashes(t: Tables) -> DataFrame:
 
 
 @query(r"""WITH q AS (SELECT c_custkey, 'customers of ' || n_name || ' in the ' || c_mktsegment || ' segment' AS text, n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT c_custkey, list_sort([trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')), lower(c_mktsegment)]) AS found FROM q""")
+SELECT c_custkey, array_to_string(list_sort([trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')), lower(c_mktsegment)]), ',') AS found FROM q""")
 def values_in_questions(t: Tables) -> DataFrame:
     index = catalog.value_index({n: getattr(t, n) for n in TABLES}, [("nation", "n_name"), ("customer", "c_mktsegment")])
     both = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     asked = both.select("c_custkey", F.concat(F.lit("customers of "), "n_name", F.lit(" in the "), "c_mktsegment", F.lit(" segment")).alias("text"))
     found = catalog.matched_values(asked, index)
-    return found.select("c_custkey", F.array_sort(F.transform("matches", lambda m: m["norm"])).alias("found"))
+    return found.select("c_custkey", F.array_join(F.array_sort(F.transform("matches", lambda m: m["norm"])), ",").alias("found"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'lt' ELSE 'gt' END AS op, CAST(o_custkey AS DOUBLE) AS low, CAST(o_custkey % 20 + 1 AS INTEGER) AS n,
-make_timestamp(year(o_orderdate), quarter(o_orderdate) * 3 - 2, 1, 0, 0, 0) AS start FROM orders""")
+strftime(make_timestamp(year(o_orderdate), quarter(o_orderdate) * 3 - 2, 1, 0, 0, 0), '%Y-%m-%d') AS start FROM orders""")
 def phrases_in_questions(t: Tables) -> DataFrame:
     word = F.when(F.col("o_orderpriority") == "5-LOW", "fewer than").otherwise("more than")
     asked = F.concat_ws(" ", F.lit("Top"), F.col("o_custkey") % 20 + 1, F.lit("customers with"), word, F.col("o_custkey"), F.lit("orders in"), F.concat(F.lit("Q"), F.quarter("o_orderdate")), F.year("o_orderdate"))
     rows = t.orders.select("o_orderkey", asked.alias("text"))
     said, when = questions.comparison(F.col("text")), questions.window(F.col("text"))
-    return rows.select("o_orderkey", said["op"].alias("op"), said["low"].alias("low"), questions.row_limit(F.col("text")).alias("n"), when["start"].alias("start"))
+    return rows.select("o_orderkey", said["op"].alias("op"), said["low"].alias("low"), questions.row_limit(F.col("text")).alias("n"), F.date_format(when["start"], "yyyy-MM-dd").alias("start"))

@@ -24,15 +24,15 @@ round(list_dot_product(e.v, q.v), 6) AS score, CASE WHEN e.label = q.label THEN
 p AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, target) AS place, row_number() OVER (PARTITION BY question ORDER BY gold DESC, target) AS ideal FROM r)"""
 
 
-@query(f"""{RANKED} SELECT question, count(*) FILTER (gold >= 0.5 AND place <= 10) / count(*) FILTER (gold >= 0.5) AS recall FROM p GROUP BY question HAVING count(*) FILTER (gold >= 0.5) > 0""")
+@query(f"""{RANKED} SELECT question, round(count(*) FILTER (gold >= 0.5 AND place <= 10) / count(*) FILTER (gold >= 0.5), 6) AS recall FROM p GROUP BY question HAVING count(*) FILTER (gold >= 0.5) > 0""")
 def recall_at_10(t: Tables) -> DataFrame:
-    return ev.recall_at(ranked(t), 10)
+    return ev.recall_at(ranked(t), 10).withColumn("recall", F.round("recall", 6))
 
 
-@query(f"""{RANKED} SELECT question, sum(CASE WHEN place <= 10 THEN gold / log2(place + 1) ELSE 0 END) / sum(CASE WHEN ideal <= 10 THEN gold / log2(ideal + 1) ELSE 0 END) AS ndcg
+@query(f"""{RANKED} SELECT question, round(sum(CASE WHEN place <= 10 THEN gold / log2(place + 1) ELSE 0 END) / sum(CASE WHEN ideal <= 10 THEN gold / log2(ideal + 1) ELSE 0 END), 6) AS ndcg
 FROM p GROUP BY question HAVING sum(CASE WHEN ideal <= 10 THEN gold / log2(ideal + 1) ELSE 0 END) > 0""")
 def ndcg_at_10(t: Tables) -> DataFrame:
-    return ev.ndcg_at(ranked(t), 10)
+    return ev.ndcg_at(ranked(t), 10).withColumn("ndcg", F.round("ndcg", 6))
 
 
 @query("""SELECT avg(CASE WHEN c_mktsegment = upper(c_mktsegment) THEN 1.0 ELSE 0.0 END) AS rate FROM customer""")
@@ -41,10 +41,10 @@ def exact_match_rate(t: Tables) -> DataFrame:
     return pairs.agg(ev.exact_match(pairs, "a", "b").alias("rate"))
 
 
-@query("""SELECT avg(CASE WHEN l_linenumber % 3 = 0 THEN 1.0 ELSE 0.0 END) AS accuracy FROM lineitem""")
+@query("""SELECT round(avg(CASE WHEN l_linenumber % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM lineitem""")
 def slot_top_choice(t: Tables) -> DataFrame:
     slots = t.lineitem.select(F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("candidates"), (F.col("l_linenumber") % 3).alias("gold"))
-    return slots.agg(ev.top_choice(slots).alias("accuracy"))
+    return slots.agg(F.round(ev.top_choice(slots), 6).alias("accuracy"))
 
 
 BUCKET = """CASE WHEN o_orderpriority = '5-LOW' THEN 'bail' WHEN o_orderpriority = '1-URGENT' THEN 'error' WHEN o_totalprice > 150000 THEN 'correct' ELSE 'wrong' END"""
@@ -77,9 +77,9 @@ def statement_features(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", *ev.text_features(t.conversations))
 
 
-@query(rf"""WITH {STATEMENTS} SELECT count(*) AS texts, count(*) FILTER (key IN (SELECT key FROM s WHERE turn = 0)) AS overlap, avg(len(regexp_extract_all(text, '\S+'))) AS mean_tokens FROM s""")
+@query(rf"""WITH {STATEMENTS} SELECT count(*) AS texts, count(*) FILTER (key IN (SELECT key FROM s WHERE turn = 0)) AS overlap, round(avg(len(regexp_extract_all(text, '\S+'))), 6) AS mean_tokens FROM s""")
 def corpus_statistics(t: Tables) -> DataFrame:
-    return ev.corpus_stats(t.conversations, t.conversations.filter("turn = 0")).select("texts", "overlap", "mean_tokens")
+    return ev.corpus_stats(t.conversations, t.conversations.filter("turn = 0")).select("texts", "overlap", F.round("mean_tokens", 6).alias("mean_tokens"))
 
 
 @query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS total FROM orders) SELECT o_orderkey FROM n WHERE k % greatest(1, total // 100) = 0""")
@@ -93,7 +93,7 @@ def diverse_subset(t: Tables) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT o_custkey, list(DISTINCT o_orderstatus) AS gold, list(DISTINCT o_orderstatus) FILTER (o_totalprice > 100000) AS found FROM orders GROUP BY 1)
-SELECT o_custkey, len(list_intersect(gold, coalesce(found, []))) / len(gold) AS recall FROM c""")
+SELECT o_custkey, round(len(list_intersect(gold, coalesce(found, []))) / len(gold), 6) AS recall FROM c""")
 def name_coverage(t: Tables) -> DataFrame:
     sets = t.orders.groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("gold"), F.collect_set(F.when(F.col("o_totalprice") > 100000, F.col("o_orderstatus"))).alias("found"))
-    return ev.coverage(sets).select("o_custkey", "recall")
+    return ev.coverage(sets).select("o_custkey", F.round("recall", 6).alias("recall"))

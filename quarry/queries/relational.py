@@ -42,11 +42,11 @@ def top_regions_by_revenue(t: Tables) -> DataFrame:
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 6) AS discount,
-min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ALL""")
+strftime(min(l_shipdate), '%Y-%m-%d') AS first_ship, strftime(max(l_shipdate), '%Y-%m-%d') AS last_ship, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ALL""")
 def several_measures(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
         F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("l_discount"), 6).alias("discount"),
-        F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"), F.count_distinct("l_suppkey").alias("suppliers"),
+        F.date_format(F.min("l_shipdate"), "yyyy-MM-dd").alias("first_ship"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("last_ship"), F.count_distinct("l_suppkey").alias("suppliers"),
     )
 
 
@@ -94,11 +94,11 @@ def distinct_count(t: Tables) -> DataFrame:
     return t.orders.agg(F.count_distinct("o_custkey").alias("customers"), F.count("*").alias("orders"))
 
 
-@query("""SELECT c_mktsegment, 100.0 * count(*) FILTER (o_orderstatus = 'F') / nullif(count(o_orderkey), 0) AS finished_percent
+@query("""SELECT c_mktsegment, round(100.0 * count(*) FILTER (o_orderstatus = 'F') / nullif(count(o_orderkey), 0), 6) AS finished_percent
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""")
 def conditional_rate(t: Tables) -> DataFrame:
     share = Item("orders", "o_orderkey", "rate", "finished_percent", Condition("orders", "o_orderstatus", "=", ("F",)), 100.0)
-    return planned(t, Plan(items=(share,), group=(Item("customer", "c_mktsegment"),), base="orders"))
+    return planned(t, Plan(items=(share,), group=(Item("customer", "c_mktsegment"),), base="orders")).withColumn("finished_percent", F.round("finished_percent", 6))
 
 
 @query("""SELECT CAST(NULL AS DOUBLE) AS rate, 0 AS total, count(*) AS n FROM orders WHERE o_totalprice < -1""")
@@ -107,16 +107,16 @@ def aggregates_of_nothing(t: Tables) -> DataFrame:
     return none.agg(rel.rate(F.col("o_orderstatus") == "F").alias("rate"), F.coalesce(F.sum("o_totalprice"), F.lit(0)).cast("int").alias("total"), F.count("*").alias("n"))
 
 
-@query("""SELECT p_brand, sum(CAST(l_extendedprice AS DOUBLE)) / nullif(sum(l_quantity), 0) AS unit_price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""")
+@query("""SELECT p_brand, round(sum(CAST(l_extendedprice AS DOUBLE)) / nullif(sum(l_quantity), 0), 6) AS unit_price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""")
 def ratio_of_aggregates(t: Tables) -> DataFrame:
     both = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    return both.groupBy("p_brand").agg(F.try_divide(F.sum(F.col("l_extendedprice").cast("double")), F.sum("l_quantity")).alias("unit_price"))
+    return both.groupBy("p_brand").agg(F.round(F.try_divide(F.sum(F.col("l_extendedprice").cast("double")), F.sum("l_quantity")), 6).alias("unit_price"))
 
 
-@query("""SELECT o_orderpriority, avg((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority""")
+@query("""SELECT o_orderpriority, round(avg((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0), 6) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority""")
 def average_duration(t: Tables) -> DataFrame:
     both = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return both.groupBy("o_orderpriority").agg(F.avg(dates.days_between(F.col("o_orderdate"), F.col("l_shipdate"))).alias("days"))
+    return both.groupBy("o_orderpriority").agg(F.round(F.avg(dates.days_between(F.col("o_orderdate"), F.col("l_shipdate"))), 6).alias("days"))
 
 
 @query("""SELECT n_name, count(*) AS pairs FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""")
@@ -196,14 +196,14 @@ def superlative(t: Tables) -> DataFrame:
     return t.customer.agg(F.max_by("c_name", F.struct("c_acctbal", -F.col("c_custkey"))).alias("richest"), F.max("c_acctbal").alias("balance"))
 
 
-@query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL""")
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def series_by_segment(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return t.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("""SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL""")
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def tumbling_windows(t: Tables) -> DataFrame:
-    return windowed_counts(t.events).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return windowed_counts(t.events).withColumns({"window_start": F.date_format("window_start", "yyyy-MM-dd"), "total": F.round("total", 4)})
 
 
 @query("""SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1997-04-01' AND o_orderdate < TIMESTAMP '1997-07-01' GROUP BY ALL""")
@@ -258,7 +258,7 @@ def multiset_differences(t: Tables) -> DataFrame:
 
 
 @query("""WITH big AS (SELECT * FROM orders WHERE o_totalprice > 100000), by_customer AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY 1)
-SELECT c_mktsegment, sum(n) AS big_orders FROM by_customer JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS big_orders FROM by_customer JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def common_table_expressions(t: Tables) -> DataFrame:
     by_customer = t.orders.filter("o_totalprice > 100000").groupBy("o_custkey").agg(F.count("*").alias("n"))
     return by_customer.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.sum("n").alias("big_orders"))
@@ -274,9 +274,9 @@ def decoded_values(t: Tables) -> DataFrame:
     return rel.decoded(t.orders, "o_orderstatus", {"F": "finished", "O": "open"}, "status").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT p_partkey, p_retailprice * 100 AS cents FROM part""")
+@query("""SELECT p_partkey, round(p_retailprice * 100, 4) AS cents FROM part""")
 def unit_conversion(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", (F.col("p_retailprice") * 100).alias("cents"))
+    return t.part.select("p_partkey", F.round(F.col("p_retailprice") * 100, 4).alias("cents"))
 
 
 @query("""SELECT o_orderkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT'""")
@@ -314,8 +314,8 @@ METRICS = Metrics(
 )
 
 
-@query("""SELECT o_orderstatus, round(sum(o_totalprice), 2) AS revenue, count(DISTINCT o_custkey) AS customers, 100.0 * count(*) FILTER (o_orderpriority = '1-URGENT') / count(o_orderkey) AS urgent_percent,
+@query("""SELECT o_orderstatus, round(sum(o_totalprice), 2) AS revenue, count(DISTINCT o_custkey) AS customers, round(100.0 * count(*) FILTER (o_orderpriority = '1-URGENT') / count(o_orderkey), 6) AS urgent_percent,
 nullif(count(*) FILTER (o_totalprice > 200000), 0) AS large_orders FROM orders GROUP BY 1""")
 def governed_metrics(t: Tables) -> DataFrame:
     out = METRICS.computed(["revenue", "customers", "urgent_percent", "large_orders"], {"orders": t.orders}, ["o_orderstatus"])
-    return out.withColumn("revenue", F.round("revenue", 2))
+    return out.withColumns({"revenue": F.round("revenue", 2), "urgent_percent": F.round("urgent_percent", 6)})
