@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import SPACE, WORD, let, materialize, release
 
 SYMBOLS = "#*$%&|<>"
+#: Characters of a sampled text by which costs are estimated, and only they.
+SAMPLE_CHARS = 20_000
 #: Words in a window of which two equal ones count as repetition.
 WINDOW = 8
 
@@ -36,28 +38,27 @@ def n_dup_lines(text: Column) -> Column:
 def n_repeat_words(words: Column, window: int = WINDOW) -> Column:
     """Words in windows that occur twice or more, each word counted once.
 
-    Windows are compared by two independent 64-bit hashes. Sorting brings equal
-    ones together; the places of those with an equal neighbour are then joined,
-    each adding at most window words beyond the place before it.
+    Windows are compared by a 64-bit hash of their words' 64-bit hashes. Most texts
+    have no equal ones, which a hash set of them shows. For the others, sorting
+    brings equal ones together, and the places of those with an equal neighbour
+    are joined, each adding at most window words beyond the place before it.
     """
 
-    def starts(w: Column) -> Column:
-        keys = F.transform(
-            F.sequence(F.lit(1), F.size(w) - (window - 1)),
-            lambda i: F.struct(F.xxhash64(F.slice(w, i, window)).alias("a"), F.hash(F.slice(w, i, window)).alias("b"), i.alias("i")),
-        )
-        return let(F.sort_array(keys), lambda s: F.array_sort(F.filter(F.transform(s, lambda x, k: F.when(same(s, x, k - 1) | same(s, x, k + 1), x["i"])), lambda p: p.isNotNull())))
-
-    def same(s: Column, x: Column, k: Column) -> Column:
-        other = F.get(s, k)
-        return F.coalesce((other["a"] == x["a"]) & (other["b"] == x["b"]), F.lit(False))
+    def repeated(keys: Column) -> Column:
+        placed = F.sort_array(F.transform(keys, lambda x, i: F.struct(x.alias("a"), i.alias("i"))))
+        same = lambda s, x, k: F.coalesce(F.get(s, k)["a"] == x["a"], F.lit(False))
+        starts = let(placed, lambda s: F.transform(s, lambda x, k: F.when(same(s, x, k - 1) | same(s, x, k + 1), x["i"])))
+        return F.sort_array(F.filter(starts, lambda p: p.isNotNull()))
 
     def covered(p: Column) -> Column:
         zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-window).alias("last"))
         step = lambda acc, x: F.struct((acc["n"] + F.least(F.lit(window), x - acc["last"])).alias("n"), x.alias("last"))
         return F.aggregate(p, zero, step, lambda acc: acc["n"])
 
-    return F.when(F.size(words) > window, covered(starts(words))).otherwise(F.lit(0)).cast("long")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    windows = let(hashes, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (window - 1)), lambda i: F.xxhash64(F.slice(h, i, window))))
+    count = let(windows, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), F.lit(0)).otherwise(covered(repeated(k))))
+    return F.when(F.size(words) > window, count).otherwise(F.lit(0)).cast("long")
 
 
 def features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -65,12 +66,17 @@ def features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     base = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     words = F.regexp_extract_all(F.col("__text"), F.lit(WORD), F.lit(0))
     of_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("n_repeat_words")))
-    return base.select(
-        *keep, "__text", of_words.alias("__w"),
+    made = F.struct(
+        of_words.alias("w"),
         F.length(without(F.col("__text"), SPACE)).cast("long").alias("word_chars"),
         (F.length("__text") - F.length(without(F.col("__text"), SYMBOLS))).cast("long").alias("n_symbols"),
         n_dup_lines(F.col("__text")).alias("n_dup_lines"),
-    ).select(*keep, "__text", "__w.n_words", "word_chars", "n_symbols", "n_dup_lines", "__w.n_repeat_words")
+    )
+    # made by a generator of one row: a later filter on features is not pushed below
+    # it, where every use of a feature would compute it again
+    return base.select(*keep, "__text", F.explode(F.array(made)).alias("f")).select(
+        *keep, "__text", "f.w.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.w.n_repeat_words"
+    )
 
 
 @dataclass(frozen=True)
@@ -130,16 +136,17 @@ def cascade(order: list[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
-def judge(docs: DataFrame, *, keep: list[str] = ("doc_id",), text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 400) -> DataFrame:
+def judge(docs: DataFrame, *, keep: list[str] = ("doc_id",), text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 200) -> DataFrame:
     """keep columns, the features, base_failed and kept of every row.
 
-    The rules' order comes from at most sample_rows rows; which rows those are
-    cannot change a verdict. A null text counts as empty and fails the base
+    The rules' order comes from at most sample_rows rows, of which SAMPLE_CHARS
+    characters are looked at; neither can change a verdict. A null text counts as empty and fails the base
     rules; repeated rows each give a row; an empty table gives none; columns not
     in keep are left out, so their names cannot clash.
     """
     keep = list(keep)
-    sample = materialize(features(docs.select(F.col(text)).limit(sample_rows), [], text), "rules-sample")
+    rows = docs.select(F.left(F.col(text).cast("string"), F.lit(SAMPLE_CHARS)).alias("text")).take(sample_rows)
+    sample = materialize(features(docs.sparkSession.createDataFrame(rows, "text string"), []), "rules-sample")
     order = [r for r, _, _ in order_rules(sample, rules)]
     release(sample)
     return features(docs, keep, text).withColumn("base_failed", base_failed()).withColumn(
