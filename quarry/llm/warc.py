@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.shared import materialize
+
 END = "\r\n\r\n"
 #: Between records: the end of one and the first letters of the next one.
 BETWEEN = END + "WARC/1."
@@ -165,22 +167,34 @@ def parse(raw: bytes) -> dict | None:
     }
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
+def records(spark: SparkSession, path: str, digested: bool = False) -> DataFrame:
     """FIELDS of every record under path, in archives of any 1.x version, plain or
-    gzip. A record shorter than its stated length is marked as not complete."""
+    gzip. A record shorter than its stated length is marked as not complete.
+
+    digested: also payload_bytes and payload_digest of responses that are one
+    record, whose block is then left out."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 found = [r for x in b.column(0).slice(at, 64).to_pylist() if (r := parse(x))]
+                for r in found if digested else ():
+                    if r["type"] == "response" and r["segment"] is None:
+                        payload = payload_of(r["block"]) if r["complete"] else None
+                        whole = payload is not None
+                        r |= {"block": None, "complete": whole, "payload_bytes": len(payload) if whole else None, "payload_digest": digest(payload) if whole else None}
                 if found:
-                    yield pa.RecordBatch.from_pylist(found, schema=SCHEMA)
+                    yield pa.RecordBatch.from_pylist(found, schema=schema)
 
-    return spark.read.option("lineSep", BETWEEN).text(path).select(F.col("value").cast("binary")).mapInArrow(run, FIELDS)
+    schema = pa.schema([*SCHEMA, *DIGESTS]) if digested else SCHEMA
+    fields = FIELDS + (", payload_bytes long, payload_digest string" if digested else "")
+    return spark.read.option("lineSep", BETWEEN).text(path).select(F.col("value").cast("binary")).mapInArrow(run, fields)
 
 
 SCHEMA = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("page_id", pa.string()), ("url", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("origin_id", pa.string()), ("segment", pa.int32()), ("total_length", pa.int64()), ("complete", pa.bool_()), ("block", pa.binary())])
 
+DIGESTS = [pa.field("payload_bytes", pa.int64()), pa.field("payload_digest", pa.string())]
+
 
 def reassemble(found: DataFrame) -> DataFrame:
     """record_id, page_id, url, digest, payload of every response in found, and
@@ -215,19 +229,19 @@ def read_pages(spark: SparkSession, path: str, id_type: str = "long") -> DataFra
     """page_id, payload_bytes, payload_digest, record_type, refers_to and complete of
     every response and revisit under path. Bytes and digest of a response are
     those of the payload read; a revisit has those of the response it names."""
-    found = records(spark, path)
-    made = reassemble(found)
+    found = materialize(records(spark, path, digested=True), "records")
 
     def run(batches):
         for b in batches:
-            data = [b.column(1).slice(i, 1).to_pylist()[0] for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([None if x is None else len(x) for x in data], pa.int64()), pa.array([None if x is None else digest(x) for x in data], pa.string()), b.column(2), b.column(3)],
-                ["page_id", "payload_bytes", "payload_digest", "stated", "complete"],
-            )
-
-    responses = made.select("page_id", "payload", "digest", "complete").mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, stated string, complete boolean")
-    responses = responses.withColumn("complete", F.col("complete") & F.coalesce(F.col("stated") == F.col("payload_digest"), F.lit(True)))
+            data = b.column(1).to_pylist()
+            size, own = [None if x is None else len(x) for x in data], [None if x is None else digest(x) for x in data]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(own, pa.string()), b.column(2), b.column(3)], ["page_id", "payload_bytes", "payload_digest", "digest", "complete"])
+
+    made = reassemble(found.filter("segment IS NOT NULL")).select("page_id", "payload", "digest", "complete")
+    joined = made.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, digest string, complete boolean")
+    whole = found.filter("type = 'response' AND segment IS NULL").select("page_id", "payload_bytes", "payload_digest", "digest", "complete")
+    responses = whole.unionByName(joined)
+    responses = responses.withColumn("complete", F.col("complete") & F.coalesce(F.col("digest") == F.col("payload_digest"), F.lit(True)))
     revisits = found.filter("type = 'revisit'").select("page_id", F.col("digest").alias("payload_digest"), "refers_to")
     sizes = responses.groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
     revisits = revisits.join(sizes, "payload_digest", "left")
