@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, lm_scoring, quality_classifier, quality_rules, secret_scans, simhash_dedup, source_mixing, token_counts, url_filters, warc
-from quarry.llm.shared import new_path, read, word_count
+from quarry.llm.shared import new_path, read
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mixing.shares(read(spark, sf_dir, "documents"), word_count(F.col("text")))
+    return source_mixing.shares(read(spark, sf_dir, "documents"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

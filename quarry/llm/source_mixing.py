@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.shared import bucket, let, materialize
+from quarry.llm.shared import WORD, bucket, let, materialize, word_count
 
 #: Words in a block, slots in a shard, rounds of the permutation, most passes.
 BLOCK, SLOTS, ROUNDS, PASSES = 256, 1024, 20, 3
@@ -137,15 +137,16 @@ def draw(quota: DataFrame, slots: int = SLOTS) -> DataFrame:
     return body.unionByName(closing)
 
 
-def prepared(docs: DataFrame, size: Column, source: str = "source") -> DataFrame:
-    """doc_id, source, size, nth (rows that repeat a doc_id are told apart)."""
-    rows = docs.select("doc_id", F.col(source).alias("source"), size.alias("size"))
-    same = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    return materialize(rows.withColumn("nth", F.row_number().over(same)), "mix-sizes")
+def prepared(docs: DataFrame, source: str, text: str) -> DataFrame:
+    """doc_id, source, size, nth: rows of one doc_id and source are told apart by nth,
+    in the order of size and then of a hash of the text."""
+    rows = docs.select("doc_id", F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("h"))
+    same = Window.partitionBy("doc_id", "source").orderBy("size", "h")
+    return materialize(rows.withColumn("nth", F.row_number().over(same)).drop("h"), "mix-sizes")
 
 
-def mix(docs: DataFrame, size: Column, *, source: str = "source", weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK, slots: int = SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, pieces, slots) of the mix of docs, whose words number size.
+def mix(docs: DataFrame, *, source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK, slots: int = SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, pieces, slots) of the mix of docs; their size is in words.
 
     documents: doc_id, source, size, nth, rank, source_size, target, offset;
     pieces: the part of a document in a block: doc_id, source, nth, rank, block,
@@ -156,7 +157,7 @@ def mix(docs: DataFrame, size: Column, *, source: str = "source", weights: tuple
     part but stays in documents; repeated rows are packed one after the other; an
     empty table gives three empty frames; other columns are left out.
     """
-    sized = prepared(docs, size, source)
+    sized = prepared(docs, source, text)
     plan = materialize(source_plan(sized, weights), "mix-plan")
     n = sized.count()
     joined = sized.join(plan.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
@@ -184,27 +185,33 @@ def taken_words(pieces: DataFrame, taken: DataFrame) -> DataFrame:
     return per.groupBy("rank", "doc_id", "nth").agg(F.sum(words).alias("taken"))
 
 
-def shares(docs: DataFrame, size: Column, *, source: str = "source", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def shares(docs: DataFrame, *, source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of docs."""
-    placed, pieces, slots = mix(docs, size, source=source, weights=weights)
+    placed, pieces, slots = mix(docs, source=source, text=text, weights=weights)
     got = taken_words(pieces, slots).select(*(F.col(c).alias(f"__{c}") for c in ("rank", "doc_id", "nth", "taken")))
     same = (F.col("rank") == F.col("__rank")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("nth") == F.col("__nth"))
     return placed.join(got, same, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).alias("taken"))
 
 
-def mixed_text(docs: DataFrame, size: Column, words: Column, *, source: str = "source", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def mixed_text(docs: DataFrame, *, source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """The mixed corpus: shard, rank, j (slot of the source), at, doc_id, source,
     and text, the words of that document in that place joined by spaces.
 
-    words: the array of a document's words. Each document is cut once into the
-    pieces that its offset gives; pieces then meet the slots by block number."""
-    placed, _, slots = mix(docs, size, source=source, weights=weights)
-    numbered = docs.select("doc_id", F.col(source).alias("source"), size.alias("size"), words.alias("words"))
-    same = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    numbered = numbered.withColumn("nth", F.row_number().over(same)).filter("size > 0").alias("n")
-    p = placed.select("doc_id", "source", "nth", "rank", "offset").alias("p")
-    on = F.col("n.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("n.source").eqNullSafe(F.col("p.source")) & (F.col("n.nth") == F.col("p.nth"))
-    whole = numbered.join(p, on).select("n.doc_id", "n.source", "rank", "offset", "size", "words")
+    Each document meets its offset once and is cut there into the pieces that fall
+    into blocks; pieces then meet the slots by block number."""
+    placed, _, slots = mix(docs, source=source, text=text, weights=weights)
+    rows = docs.select("doc_id", F.col(source).alias("source"), F.col(text).alias("text"))
+    key = [F.col("doc_id").eqNullSafe(F.col("__doc_id")), F.col("source").eqNullSafe(F.col("__source"))]
+    side = placed.filter("size > 0").select(F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source"), "nth", "rank", "offset", "size")
+    again = materialize(placed.filter("nth > 1").select(F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source")).distinct(), "mix-repeats")
+    if again.isEmpty():
+        whole = rows.join(side, key)
+    else:
+        # only rows that share doc_id and source are numbered once more
+        same = Window.partitionBy("doc_id", "source").orderBy(word_count(F.col("text")), F.xxhash64("text"))
+        several = rows.join(again, key, "left_semi").withColumn("__nth", F.row_number().over(same))
+        several = several.join(side, [*key, F.col("nth") == F.col("__nth")]).drop("__nth")
+        whole = rows.join(again, key, "left_anti").join(side, key).unionByName(several)
     first, last = F.expr(f"offset div {BLOCK}"), F.expr(f"(offset + size - 1) div {BLOCK}")
 
     def cut(w: Column) -> Column:
@@ -212,12 +219,13 @@ def mixed_text(docs: DataFrame, size: Column, words: Column, *, source: str = "s
             begin = F.greatest(F.col("offset"), b * BLOCK)
             end = F.least(F.col("offset") + F.col("size"), (b + 1) * BLOCK)
             part = F.slice(w, (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int"))
-            return F.struct(b.alias("block"), (begin - b * BLOCK).alias("at"), part.alias("part"))
+            return F.struct(b.alias("block"), (begin - b * BLOCK).alias("at"), (end - begin).alias("length"), F.array_join(part, " ").alias("part"))
 
         return F.transform(F.sequence(first, last), piece)
 
-    pieces = whole.select("doc_id", "source", "rank", F.explode(let(F.col("words"), cut)).alias("x"))
-    pieces = pieces.select("doc_id", "source", "rank", F.col("x.block").alias("block"), F.col("x.at").alias("at"), F.col("x.part").alias("part"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    pieces = whole.select("doc_id", "source", "rank", F.explode(let(words, cut)).alias("x")).select("doc_id", "source", "rank", "x.*")
     met = slots.join(pieces, ["rank", "block"]).filter("words > at")
-    cut_part = F.slice("part", F.lit(1), F.least(F.size("part"), F.col("words") - F.col("at")).cast("int"))
-    return met.select("shard", "rank", "j", F.col("at").cast("long"), "doc_id", "source", F.array_join(cut_part, " ").alias("text"))
+    room = (F.col("words") - F.col("at")).cast("int")
+    taken = F.when(room < F.col("length"), F.array_join(F.slice(F.split("part", " "), F.lit(1), room), " ")).otherwise(F.col("part"))
+    return met.select("shard", "rank", "j", F.col("at").cast("long"), "doc_id", "source", taken.alias("text"))
