@@ -4,6 +4,17 @@ from __future__ import annotations
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: Five hexadecimal digits of a SHA-1 are four letters of base32.
+OP2 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT x, min(page_id) AS first FROM p GROUP BY x),
+v AS (SELECT page_id, n, x, list_transform(range(0, 8), lambda i: CAST('0x' || substr(x, 5 * i + 1, 5) AS BIGINT)) AS v FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v[k // 4 + 1] >> (15 - 5 * (k % 4))) % 32 + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM v JOIN f USING (x)
+"""
+
 OP8 = rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents
@@ -45,4 +56,4 @@ FROM p
 """
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": OP3, "op8_quality_rules": OP8}
+    return {"op2_warc": OP2, "op3_url_filters": OP3, "op8_quality_rules": OP8}
