@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import components, decontamination, lm_scoring, quality_classifier, simhash_dedup, source_mixing, url_filters, warc
-from quarry.llm.shared import WORD, new_path, word_count
+from quarry.llm.shared import new_path
 
 rng = random.Random(7)
 VOCABULARY = [f"w{k}" for k in range(3000)]
@@ -156,8 +156,8 @@ def test_source_mixing(spark):
     rows = [(k, prose(rng.randrange(0, 400)), ["b", "a", None, "é", "", "tiny"][min(5, k % 11)]) for k in range(300)]
     rows = [(k, t if s != "tiny" else "x y", s) for k, t, s in rows] + [(500, None, "a"), (501, "", "only empty"), (3, "again", "a"), (3, "again", "a"), (None, "no id", "b"), (502, prose(30_000), "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rank", F.lit("clash")).withColumn("size", F.lit("clash"))
-    got = source_mixing.shares(docs, word_count(F.col("text"))).collect()
-    assert sorted(map(str, got)) == sorted(map(str, source_mixing.shares(docs, word_count(F.col("text"))).collect()))
+    got = source_mixing.shares(docs).collect()
+    assert sorted(map(str, got)) == sorted(map(str, source_mixing.shares(docs).collect()))
     assert len(got) == len(rows)
     size, taken = collections.Counter(), collections.Counter()
     for _, t, s in rows:
@@ -170,13 +170,12 @@ def test_source_mixing(spark):
         assert r["target"] == pytest.approx(target[r["source"]])
     for s, n in taken.items():
         assert abs(n - target[s]) <= 0.5
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    mixed = source_mixing.mixed_text(docs, word_count(F.col("text")), words).collect()
+    mixed = source_mixing.mixed_text(docs).collect()
     by_source = collections.Counter()
     for r in mixed:
         by_source[r["source"]] += len(r["text"].split(" "))
     assert by_source == {s: n for s, n in taken.items() if n}
-    assert source_mixing.shares(docs.limit(0), word_count(F.col("text"))).count() == 0
+    assert source_mixing.shares(docs.limit(0)).count() == 0
 
 
 def test_permutation(spark):
@@ -287,15 +286,15 @@ def test_model_probabilities_sum_to_one():
     rest = [w for w in words if w not in top]
     vocab = lm_scoring.Vocabulary(words, {w: k for k, w in enumerate(top)}, sum(words.values()), len(words), (sum(words[w] for w in rest), len(rest)))
     model = lm_scoring.Model(*vocab.starts())
-    corpus = lm_scoring.Corpus(lm_scoring.Numbering(vocab))
+    numbering = lm_scoring.Numbering(vocab)
     squares = np.zeros(lm_scoring.CLASS_ROWS, np.float32), np.zeros(lm_scoring.WORD_ROWS, np.float32)
-    numbers, at, _ = corpus.numbers([[b"w1", b"w2", b"w3"]] * 50)
+    places, at, _ = lm_scoring.numbered(numbering, [[b"w1", b"w2", b"w3"]] * 50)
     for _ in range(3):
-        model.train(numbers, at, squares)
+        model.train(numbering.feature[places], at, squares)
     total = 0.0
     for w in [*words, b"never seen"]:
-        numbers, at, _ = corpus.numbers([[b"w1", b"w2", w]])
-        p = np.exp(model.log_probabilities(numbers, at[2:3])[0])
+        places, at, _ = lm_scoring.numbered(numbering, [[b"w1", b"w2", w]])
+        p = np.exp(model.log_probabilities(numbering.feature[places], at[2:3])[0])
         total += p if w in vocab.rank else p * (words.get(w, 0) + 1) / (sum(vocab.rest) + 1)
     assert total == pytest.approx(1.0, abs=1e-4)
 
