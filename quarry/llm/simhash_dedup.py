@@ -33,7 +33,7 @@ from quarry.llm.shared import materialize, per_text, release
 
 #: Reference fingerprints, rows of a bucket that one group holds, pairs at a time,
 #: and pairs of a row in a bucket that are left to an exact check.
-PIVOTS, GROUP_ROWS, PAIRS, NEAREST = 12, 1024, 2_000_000, 3
+PIVOTS, GROUP_ROWS, PAIRS, NEAREST = 12, 1024, 2_000_000, 1
 #: Seconds that a row's shuffle and a compared pair are taken to cost.
 ROW_COST, PAIR_COST = 1.5e-6, 1e-8
 #: Shingles whose hashes are unpacked into bits at a time.
