@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from quarry.llm.components import connected
 from quarry.llm.shared import materialize, per_text, release
 
-#: Reference fingerprints, rows of a bucket that one group holds, pairs at a time,
-#: and pairs of a row in a bucket that are left to an exact check.
-PIVOTS, GROUP_ROWS, PAIRS, NEAREST = 12, 1024, 2_000_000, 1
+#: Reference fingerprints, rows of a bucket that one group holds, pairs at a time.
+PIVOTS, GROUP_ROWS, PAIRS = 12, 1024, 2_000_000
+#: Shingles of a bucket's texts that one group holds, rows of them in a partition.
+GROUP_SHINGLES, PARTITION_ROWS = 1_000_000, 20_000
 #: Seconds that a row's shuffle and a compared pair are taken to cost.
 ROW_COST, PAIR_COST = 1.5e-6, 1e-8
 #: Shingles whose hashes are unpacked into bits at a time.
@@ -125,29 +126,18 @@ def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def nearest(row: np.ndarray, apart: np.ndarray, k: int) -> np.ndarray:
-    """Which entries are among the k least apart of their row."""
-    order = np.lexsort((apart, row))
-    own = row[order]
-    first = np.searchsorted(own, own)
-    out = np.zeros(len(row), dtype=bool)
-    out[order] = np.arange(len(row)) - first < k
-    return out
-
-
-def linked(bits: np.ndarray, group: np.ndarray, part: np.ndarray, lone: np.ndarray, distance: int, sure: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, row, is sure) links between rows with fingerprints bits (rows, lanes)
-    that share a group: links that join what pairs up to sure (default: distance)
-    apart join; and of farther pairs, up to distance, each row's NEAREST.
+def close(bits: np.ndarray, group: np.ndarray, part: np.ndarray, lone: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (row, row) within distance of rows with fingerprints bits (rows,
+    lanes) that share a group, about PAIRS looked at at a time.
 
     Rows of a group that mixes two parts (lone false) meet across parts only."""
-    lanes, sure = bits.shape[1], distance if sure is None else sure
+    lanes = bits.shape[1]
     table = np.stack([np.bitwise_count(bits ^ p).sum(axis=1, dtype=np.int16) for p in pivots(lanes)])
     order = np.lexsort((table[0], group))
     bits, group, part, lone, table = bits[order], group[order], part[order], lone[order], table[:, order]
     key = group * (128 * lanes) + table[0]
     ahead = np.searchsorted(key, np.minimum(key + distance, (group + 1) * (128 * lanes) - 1), side="right") - np.arange(len(key)) - 1
-    out, begin, upto = [(np.empty(0, np.int64),) * 3], 0, np.cumsum(ahead)
+    begin, upto = 0, np.cumsum(ahead)
     while begin < len(key):
         end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, side="right")))
         n = ahead[begin:end]
@@ -164,73 +154,128 @@ def linked(bits: np.ndarray, group: np.ndarray, part: np.ndarray, lone: np.ndarr
         for k in range(lanes):
             apart += np.bitwise_count(bits[left, k] ^ bits[right, k])
         ok = apart <= distance
-        left, right, apart = left[ok], right[ok], apart[ok]
-        near = apart <= sure
-        label = forest(left[near], right[near], len(key))
-        moved = np.flatnonzero(label != np.arange(len(key)))
-        out.append((order[moved], order[label[moved]], np.ones(len(moved), np.int64)))
-        ok = ~near & (label[left] != label[right])
-        left, right, apart = left[ok], right[ok], apart[ok]
-        if len(left):
-            ok = nearest(left, apart, NEAREST) | nearest(right, apart, NEAREST)
-            out.append((order[left[ok]], order[right[ok]], np.zeros(int(ok.sum()), np.int64)))
-    a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-    return a, b, c.astype(bool)
-
-
-def links(rows: DataFrame, n: int, bands: int, distance: int, sure: int | None = None) -> DataFrame:
-    """(a, b, sure): links within distance between nodes that share a bucket, as many
-    as are needed to connect what all links up to sure (default: distance) connect,
-    and each node's nearest of the farther ones in a bucket.
+        yield order[left[ok]], order[right[ok]]
+
+
+def similar(ids: np.ndarray, size: np.ndarray, part: np.ndarray, lone: bool, similarity: float) -> list[tuple[int, int]]:
+    """Links (row, row) that connect what all pairs of a group's rows with the Jaccard
+    similarity or more connect: a pair is left out only if links join it already.
+
+    ids: the rows' sets one after the other, size of them each. lone as in close()."""
+    start, label, out = np.cumsum(size) - size, np.arange(len(size)), []
+    ids = np.unique(ids, return_inverse=True)[1]
+    held = np.zeros(len(ids), dtype=bool)
+    for k in range(len(size) - 1):
+        n = size[k + 1 :]
+        ok = (label[k + 1 :] != label[k]) & (np.minimum(n, size[k]) >= similarity * np.maximum(n, size[k]))
+        if not lone:
+            ok &= part[k + 1 :] != part[k]
+        other = k + 1 + np.flatnonzero(ok)
+        if not len(other):
+            continue
+        own, n = ids[start[k] : start[k] + size[k]], size[other]
+        first = np.cumsum(n) - n
+        held[own] = True
+        common = np.add.reduceat(held[ids[np.repeat(start[other] - first, n) + np.arange(n.sum())]], first, dtype=np.int64)
+        held[own] = False
+        joined = other[common >= similarity * (size[k] + n - common)]
+        if len(joined):
+            out += [(k, j) for j in joined.tolist()]
+            label[np.isin(label, label[joined])] = label[k]
+    return out
 
-    rows: band, key, node (long) and bits (long, or binary of several lanes);
-    n nodes in so many bands. A bucket of more than GROUP_ROWS rows is dealt to
-    parts, and each pair of parts is a group of its own."""
-    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("m")).filter(F.col("m") > GROUP_ROWS)
-    large = materialize(sizes.select("band", "key", F.expr(f"cast((m + {GROUP_ROWS - 1}) div {GROUP_ROWS} as int)").alias("parts")), "large-buckets")
+
+def dealt(rows: DataFrame, groups: Column, parts: int) -> DataFrame:
+    """rows (band, key, node and more) with part, i and j, in so many partitions sorted
+    by band, key, i, j. A bucket over 1 of groups (an aggregate of rows) is dealt to as
+    many parts, and each pair of parts is a group of its own."""
+    columns = rows.columns
+    sizes = rows.groupBy("band", "key").agg(F.ceil(groups).cast("int").alias("parts")).filter("parts > 1")
+    large = materialize(sizes, "large-buckets")
     if large.isEmpty():
-        rows = rows.select("band", "key", "node", "bits", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"))
+        rows = rows.select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"))
     else:
         rows = rows.join(large, ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
-        rows = rows.select("band", "key", "node", "bits", "part", other).withColumns({"i": F.least("part", "o"), "j": F.greatest("part", "o")})
+        rows = rows.select(*columns, "part", other).withColumns({"i": F.least("part", "o"), "j": F.greatest("part", "o")}).drop("o")
+    return rows.repartition(parts, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+
+
+GROUP = ("band", "key", "i", "j")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches in which no group is cut, with the number of each row's group."""
+
+    def numbers(t: pa.RecordBatch) -> np.ndarray:
+        change = np.zeros(t.num_rows, dtype=np.int64)
+        for c in GROUP:
+            x = t.column(c).to_numpy()
+            change[1:] |= x[1:] != x[:-1]
+        return np.cumsum(change)
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = batch if held is None else pa.concat_batches([held, batch])
+        number = numbers(t)
+        cut = int(np.searchsorted(number, number[-1]))  # the last group may go on in the next batch
+        if cut:
+            yield t.slice(0, cut), number[:cut]
+        held = t.slice(cut)
+    if held is not None:
+        yield held, numbers(held)
+
+
+def bucketed(rows: DataFrame, n: int, bands: int) -> DataFrame:
+    """rows (band, key, node, bits) of n nodes in so many bands, dealt by their number."""
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * bands // 2_000_000)
-    dealt = rows.repartition(parts, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    groups = ("band", "key", "i", "j")
+    return dealt(rows, F.count("*") / GROUP_ROWS, parts).select(*GROUP, "part", "node", "bits")
+
+
+def near_pairs(t: pa.RecordBatch, group: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """close() of a batch of bucketed()."""
+    bits = t.column("bits")
+    if pa.types.is_binary(bits.type):
+        bits = np.frombuffer(b"".join(bits.to_pylist()), dtype="<u8").reshape(t.num_rows, -1)
+    else:
+        bits = bits.to_numpy().view(np.uint64).reshape(-1, 1)
+    return close(bits, group, t.column("part").to_numpy(), t.column("i").to_numpy() == t.column("j").to_numpy(), distance)
+
+
+def links(rows: DataFrame, n: int, bands: int, distance: int) -> DataFrame:
+    """(a, b): links within distance between nodes that share a bucket, as many as are
+    needed to connect what all of them connect.
+
+    rows: band, key, node (long) and bits (long, or binary of several lanes);
+    n nodes in so many bands."""
 
     def run(batches):
-        def flush(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            change = np.zeros(t.num_rows, dtype=np.int64)
-            for c in groups:
-                x = t.column(c).to_numpy()
-                change[1:] |= x[1:] != x[:-1]
-            bits = t.column("bits")
-            if pa.types.is_binary(bits.type):
-                bits = np.frombuffer(b"".join(bits.to_pylist()), dtype="<u8").reshape(t.num_rows, -1)
-            else:
-                bits = bits.to_numpy().view(np.uint64).reshape(-1, 1)
+        for t, group in whole_groups(batches):
             node = t.column("node").to_numpy()
-            a, b, c = linked(bits, np.cumsum(change), t.column("part").to_numpy(), t.column("i").to_numpy() == t.column("j").to_numpy(), distance, sure)
-            if len(a):
-                low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(c)], ["a", "b", "sure"])
-
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = batch if held is None else pa.concat_batches([held, batch])
-            last = [t.column(c)[t.num_rows - 1].as_py() for c in groups]
-            same = np.logical_and.reduce([t.column(c).to_numpy() == x for c, x in zip(groups, last, strict=True)])
-            cut = int(np.argmax(same))  # the last group may go on in the next batch
-            if cut:
-                yield from flush(t.slice(0, cut))
-            held = t.slice(cut)
-        if held is not None:
-            yield from flush(held)
-
-    return dealt.select(*groups, "part", "node", "bits").mapInArrow(run, "a long, b long, sure boolean").distinct()
+            for left, right in near_pairs(t, group, distance):
+                label = forest(left, right, t.num_rows)
+                a = np.flatnonzero(label != np.arange(t.num_rows))
+                a, b = node[a], node[label[a]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return bucketed(rows, n, bands).mapInArrow(run, "a long, b long").distinct()
+
+
+def meetings(rows: DataFrame, n: int, bands: int, distance: int) -> DataFrame:
+    """(band, key, node): nodes with another one within distance in that bucket, of
+    rows as in links()."""
+
+    def run(batches):
+        for t, group in whole_groups(batches):
+            met = np.zeros(t.num_rows, dtype=bool)
+            for left, right in near_pairs(t, group, distance):
+                met[left] = met[right] = True
+            yield t.select(["band", "key", "node"]).filter(pa.array(met))
+
+    return bucketed(rows, n, bands).mapInArrow(run, "band int, key long, node long").distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -278,14 +323,14 @@ def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float =
 
     Sets of similarity s have cosine 2s / (1 + s), and a SimHash bit of theirs
     differs with probability angle / pi: over 64 * lanes bits that gives a mean
-    distance and its deviation. Two deviations below it texts are linked, two
-    above it not; in between each text's nearest are compared by their shingles.
+    distance and its deviation. Texts up to two deviations above it that share a
+    band are compared by their shingles, all of them but those already joined.
     Texts shorter than a shingle have one shingle, the whole text; rows without
     words are left out, as nothing can be said of them. component_id is as in
     near_duplicates().
     """
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    mean, spread = 64 * lanes * angle, 2 * math.sqrt(64 * lanes * angle * (1 - angle))
+    bound = round(64 * lanes * angle + 2 * math.sqrt(64 * lanes * angle * (1 - angle)))
 
     def make():
         return lambda texts: {"bits": [simhash(t, shingle, lanes).tobytes() for t in texts], "empty": [not t.strip(" \t\n\x0b\f\r") for t in texts]}
@@ -309,29 +354,42 @@ def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float =
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, k, np.int32)), pa.array(key), part.column(0), part.column(1)], ["band", "key", "node", "bits"])
 
     rows = nodes.select("node", "bits").mapInArrow(run, "band int, key long, node long, bits binary")
-    found = materialize(links(rows, n, bands, round(mean + spread), round(mean - spread)), "candidates")
-    checked = confirmed(docs, nodes, found.filter("NOT sure").select("a", "b"), shingle, similarity, text)
-    own = components(nodes, found.filter("sure").select("a", "b").unionByName(checked))
+    met = materialize(meetings(rows, n, bands, bound), "meetings")
+    own = components(nodes, confirmed(docs, nodes, met, shingle, similarity, text))
     return prints.join(own, F.col("fp") == F.col("node")).select("doc_id", "component_id")
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float, text: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have the similarity or more.
+def confirmed(docs: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int, similarity: float, text: str) -> DataFrame:
+    """Links (a, b) that connect what all pairs of nodes connect that share a bucket of
+    met and whose shingle sets have the similarity or more.
 
-    Only texts of nodes in pairs are read for it: one per node, as 32-bit hashes."""
+    Only texts of nodes in met are read for it: one per node, as 32-bit hashes."""
 
     def make():
-        return lambda texts: {"s": [np.unique(np.concatenate([h.astype(np.uint32) for h in shingle_hashes(t, shingle)] or [np.empty(0, np.uint32)])).view(np.int32).tolist() for t in texts]}
+        return lambda texts: {"s": [np.unique(np.concatenate([h.astype(np.uint32) for h in shingle_hashes(t, shingle)] or [np.empty(0, np.uint32)])).view(np.int32) for t in texts]}
 
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(wanted.join(nodes.select("node", "first"), "node"), "wanted")
+    wanted = materialize(met.select("node").distinct().join(nodes.select("node", "first"), "node"), "wanted")
     chosen = docs.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = per_text(chosen, ["doc_id"], text, make, "s array<int>")
     sets = wanted.join(sets, F.col("first") == F.col("doc_id")).groupBy("node").agg(F.max("s").alias("s"))
-    sets = materialize(sets, "shingle-sets")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    rows = met.join(materialize(sets, "shingle-sets"), "node").select("band", "key", "node", "s")
+
+    def run(batches):
+        for t, group in whole_groups(batches):
+            node, part, lone = t.column("node").to_numpy(), t.column("part").to_numpy(), t.column("i").to_numpy() == t.column("j").to_numpy()
+            size = t.column("s").value_lengths().to_numpy().astype(np.int64)
+            ids, upto = t.column("s").flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)])
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [t.num_rows]]).tolist()
+            out = []
+            for x, y in itertools.pairwise(cuts):
+                out += [(x + a, x + b) for a, b in similar(ids[upto[x] : upto[y]], size[x:y], part[x:y], lone[x], similarity)]
+            if out:
+                a, b = node[np.array(out)].T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), met.count() // PARTITION_ROWS)
+    load = F.greatest(F.count("*") / GROUP_ROWS, F.sum(F.size("s")) / GROUP_SHINGLES)
+    return dealt(rows, load, parts).select(*GROUP, "part", "node", "s").mapInArrow(run, "a long, b long").distinct()
 
 
 def hex16(fp: Column) -> Column:

@@ -101,6 +101,28 @@ def test_similar_documents(spark):
     assert got[len(texts) + 2] == len(texts) + 2
 
 
+def grouped(texts, size, similarity):
+    sets = [{x for h in simhash_dedup.shingle_hashes(t, size) for x in h.tolist()} for t in texts]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    return {k: k for k in range(len(sets))} | roots(pairs)
+
+
+@pytest.mark.parametrize("rows", [1024, 4])
+def test_similar_documents_compares_every_uncertain_pair(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash_dedup, "GROUP_ROWS", rows)
+    r, texts = random.Random(21), []
+    for k in range(4):
+        base = prose(240, 700 + k).split()
+        for _ in range(30):  # pairs a little above and below 0.8
+            w = list(base)
+            for at in r.sample(range(len(w)), r.choice((3, 4, 5, 5, 6))):
+                w[at] = f"new{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash_dedup.similar_documents(docs, recall=0.999999).collect()}
+    assert got == grouped(texts, 5, 0.8)
+
+
 def test_contaminated(spark):
     items = [prose(40, 900 + k) for k in range(8)] + ["two words", "", None, prose(30, 950)]
     edited = items[1].split()
