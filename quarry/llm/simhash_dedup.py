@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import comb
 
 import numpy as np
@@ -75,8 +75,18 @@ def lane(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def simhash(text: str, size: int, lanes: int = 1) -> np.ndarray:
     """64 * lanes bits that are set in over half of the shingles; 0 without words."""
+    return voted(shingle_hashes(text, size), lanes)
+
+
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([*shingle_hashes(text, size), np.empty(0, np.uint64)]))
+
+
+def voted(hashes: Iterable[np.ndarray], lanes: int) -> np.ndarray:
+    """64 * lanes bits that are set in over half of the hashes, given in parts."""
     total, votes = 0, np.zeros((lanes, 64), dtype=np.int64)
-    for h in shingle_hashes(text, size):
+    for h in hashes:
         for k in range(lanes):
             votes[k] += np.unpackbits(lane(h, k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         total += len(h)
@@ -321,6 +331,8 @@ def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float =
     """doc_id and component_id of every row of docs that has words: groups of texts
     whose shingle sets have a Jaccard similarity of about similarity or more.
 
+    A text is its set of shingles: each votes once for the SimHash bits, however often
+    it occurs, and only texts with one set are one node of the graph.
     Sets of similarity s have cosine 2s / (1 + s), and a SimHash bit of theirs
     differs with probability angle / pi: over 64 * lanes bits that gives a mean
     distance and its deviation. Texts up to two deviations above it that share a
@@ -333,10 +345,19 @@ def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float =
     bound = round(64 * lanes * angle + 2 * math.sqrt(64 * lanes * angle * (1 - angle)))
 
     def make():
-        return lambda texts: {"bits": [simhash(t, shingle, lanes).tobytes() for t in texts], "empty": [not t.strip(" \t\n\x0b\f\r") for t in texts]}
-
-    prints = per_text(docs, ["doc_id"], text, make, "bits binary, empty boolean").filter("NOT empty")
-    prints = materialize(prints.select("doc_id", "bits", F.xxhash64("bits").alias("fp")), "fingerprints")
+        def run(texts):
+            out = {"bits": [], "fp": [], "empty": []}
+            for t in texts:
+                own = shingle_set(t, shingle)
+                out["bits"].append(voted((own[k : k + SHINGLES] for k in range(0, len(own), SHINGLES)), lanes).tobytes())
+                out["fp"].append(node_of(own))
+                out["empty"].append(not len(own))
+            return out
+
+        return run
+
+    prints = per_text(docs, ["doc_id"], text, make, "bits binary, fp long, empty boolean").filter("NOT empty")
+    prints = materialize(prints.select("doc_id", "bits", "fp"), "fingerprints")
     nodes = materialize(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("first"), F.first("bits").alias("bits")), "nodes")
     n = nodes.count()
     width, bands = bands_for(n, 1 - angle, recall)
@@ -359,6 +380,11 @@ def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float =
     return prints.join(own, F.col("fp") == F.col("node")).select("doc_id", "component_id")
 
 
+def node_of(shingles: np.ndarray) -> int:
+    """A signed 64-bit hash of a set of shingles."""
+    return signed(xxhash.xxh64_intdigest(shingles.tobytes(), seed=42))
+
+
 def confirmed(docs: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int, similarity: float, text: str) -> DataFrame:
     """Links (a, b) that connect what all pairs of nodes connect that share a bucket of
     met and whose shingle sets have the similarity or more.
@@ -366,12 +392,17 @@ def confirmed(docs: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int, s
     Only texts of nodes in met are read for it: one per node, as 32-bit hashes."""
 
     def make():
-        return lambda texts: {"s": [np.unique(np.concatenate([h.astype(np.uint32) for h in shingle_hashes(t, shingle)] or [np.empty(0, np.uint32)])).view(np.int32) for t in texts]}
+        def run(texts):
+            own = [shingle_set(t, shingle) for t in texts]
+            return {"own": [node_of(x) for x in own], "s": [np.unique(x.astype(np.uint32)).view(np.int32) for x in own]}
+
+        return run
 
     wanted = materialize(met.select("node").distinct().join(nodes.select("node", "first"), "node"), "wanted")
-    chosen = docs.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = per_text(chosen, ["doc_id"], text, make, "s array<int>")
-    sets = wanted.join(sets, F.col("first") == F.col("doc_id")).groupBy("node").agg(F.max("s").alias("s"))
+    ids = wanted.select(F.col("first").alias("wanted_id")).distinct()
+    chosen = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    sets = per_text(chosen, [], text, make, "own long, s array<int>")
+    sets = sets.join(wanted, F.col("own") == F.col("node"), "left_semi").groupBy(F.col("own").alias("node")).agg(F.first("s").alias("s"))
     rows = met.join(materialize(sets, "shingle-sets"), "node").select("band", "key", "node", "s")
 
     def run(batches):

@@ -123,6 +123,20 @@ def test_similar_documents_compares_every_uncertain_pair(spark, monkeypatch, row
     assert got == grouped(texts, 5, 0.8)
 
 
+def test_similar_documents_compares_sets_of_shingles(spark):
+    def with_rules(k):  # ten rules of 20 dots among 800 words
+        w = prose(800, 800 + k).split()
+        return " ".join(" ".join([*w[at : at + 80], *["."] * 20]) for at in range(0, 800, 80))
+
+    line = "a short line that is repeated over and over again"
+    texts = [with_rules(k) for k in range(4)] + [prose(100, 850) + " " + " ".join([line] * n) for n in (2, 60)] + ["x x x x x x", "x x x x x x x x"]
+    rows = [*enumerate(texts), (None, prose(60, 860)), (None, prose(60, 860) + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x["doc_id"], x["component_id"]) for x in simhash_dedup.similar_documents(docs.filter("doc_id IS NOT NULL")).collect())
+    assert got == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 6), (7, 6)]
+    assert len(simhash_dedup.similar_documents(docs).collect()) == len(rows)
+
+
 def test_contaminated(spark):
     items = [prose(40, 900 + k) for k in range(8)] + ["two words", "", None, prose(30, 950)]
     edited = items[1].split()
