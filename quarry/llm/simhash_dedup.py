@@ -327,6 +327,20 @@ def bands_for(n: int, agree: float, recall: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
 
 
+def tail(n: int, p: float, most: int) -> float:
+    """Chance that more than most of n bits differ, each with probability p."""
+    return 1 - math.fsum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(most + 1))
+
+
+def bound_for(bits: int, p: float, recall: float) -> tuple[int, float]:
+    """(most differing bits, recall that is left to the bands) such that both together
+    give recall: three deviations or more, and at most a fifth of the loss."""
+    most = math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
+    while tail(bits, p, most) > (1 - recall) / 5:
+        most += 1
+    return most, recall / (1 - tail(bits, p, most))
+
+
 def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, lanes: int = 8, recall: float = 0.99, text: str = "text") -> DataFrame:
     """doc_id and component_id of every row of docs that has words: groups of texts
     whose shingle sets have a Jaccard similarity of about similarity or more.
@@ -335,14 +349,15 @@ def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float =
     it occurs, and only texts with one set are one node of the graph.
     Sets of similarity s have cosine 2s / (1 + s), and a SimHash bit of theirs
     differs with probability angle / pi: over 64 * lanes bits that gives a mean
-    distance and its deviation. Texts up to two deviations above it that share a
-    band are compared by their shingles, all of them but those already joined.
+    distance and its deviation. Texts up to three deviations or more above it that
+    share a band are compared by their shingles, all of them but those already joined. What
+    the bound loses at the similarity the bands make up for: recall is of both.
     Texts shorter than a shingle have one shingle, the whole text; rows without
     words are left out, as nothing can be said of them. component_id is as in
     near_duplicates().
     """
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bound = round(64 * lanes * angle + 2 * math.sqrt(64 * lanes * angle * (1 - angle)))
+    bound, banded = bound_for(64 * lanes, angle, recall)
 
     def make():
         def run(texts):
@@ -360,7 +375,7 @@ def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float =
     prints = materialize(prints.select("doc_id", "bits", "fp"), "fingerprints")
     nodes = materialize(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("first"), F.first("bits").alias("bits")), "nodes")
     n = nodes.count()
-    width, bands = bands_for(n, 1 - angle, recall)
+    width, bands = bands_for(n, 1 - angle, banded)
     chosen = np.random.default_rng(42).permuted(np.tile(np.arange(64 * lanes), (bands, 1)), axis=1)[:, :width]
     weight = 1 << np.arange(width, dtype=np.int64)
 

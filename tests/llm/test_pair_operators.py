@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -137,6 +138,29 @@ def test_similar_documents_compares_sets_of_shingles(spark):
     assert len(simhash_dedup.similar_documents(docs).collect()) == len(rows)
 
 
+def test_similar_documents_reaches_far_pairs(spark):
+    """Pairs at Jaccard 0.8 whose fingerprints happen to differ by 95 to 102 bits."""
+    pairs = []
+    for k in range(1500):
+        a = prose(49, 10_000 + k)
+        b = " ".join([*a.split()[:24], "changed", *a.split()[25:]])
+        x, y = (simhash_dedup.simhash(t, 5, 8) for t in (a, b))
+        if 95 <= np.bitwise_count(x ^ y).sum() <= 102:
+            pairs.append((a, b))
+    assert len(pairs) >= 10
+    docs = spark.createDataFrame(list(enumerate(t for p in pairs for t in p)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash_dedup.similar_documents(docs, recall=0.999999).collect()}
+    assert got == {k: k - k % 2 for k in range(2 * len(pairs))}
+
+
+def test_bound_and_bands_give_the_recall():
+    for recall in (0.9, 0.99, 0.9999):
+        bound, banded = simhash_dedup.bound_for(512, 0.1516, recall)
+        bits, bands = simhash_dedup.bands_for(10**6, 1 - 0.1516, banded)
+        lost = sum(math.comb(512, k) * 0.1516**k * 0.8484 ** (512 - k) for k in range(bound + 1, 513))
+        assert (1 - lost) * (1 - (1 - 0.8484**bits) ** bands) >= recall
+
+
 def test_contaminated(spark):
     items = [prose(40, 900 + k) for k in range(8)] + ["two words", "", None, prose(30, 950)]
     edited = items[1].split()
