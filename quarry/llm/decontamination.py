@@ -1,16 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Documents are scanned once against a fixed-size bit table of the benchmark's word
 n-grams; only passages around a hit are kept. Hits are joined to the n-grams
-exactly. Each item's seeds are its n-grams that are rare in the corpus; a passage
-that holds a seed of an item is aligned to it word by word, so that copies with
-words changed, added or left out are scored too.
+exactly. Every n-gram of an item is a seed, however frequent: a passage that holds
+one is aligned to the item word by word, so that copies with words changed, added or
+left out are scored too. Equal passages are aligned once.
 """
 
 from __future__ import annotations
 
 import re
-import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +17,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.llm.shared import materialize, split
 
 #: Words in an n-gram; bits of the table (fixed, whatever the benchmark's size).
 GRAM, TABLE_BITS = 5, 1 << 25
-#: An n-gram found more often is a seed only if it is among its item's rarer ones.
-RARE, RARER_SHARE = 1000, 0.75
 #: Alignment scores, and the share of an item's full score that counts as a copy.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
 #: Words of which hashes are remembered by a task.
@@ -126,7 +122,8 @@ def bit_table(grams: DataFrame) -> np.ndarray:
 
 def passages(docs: DataFrame, table: np.ndarray, sizes: list[int], reach: int, doc: str, text: str) -> DataFrame:
     """(doc, region, start, words, hits): stretches of documents around n-grams that
-    the table holds, reach words to either side; hits are the distinct gram hashes."""
+    the table holds, reach words to either side; hits are the distinct gram hashes.
+    region is a 128-bit hash of words: equal passages share it, and their hits."""
     spread = docs.sparkSession.sparkContext.broadcast(table)
     kind = docs.schema[doc].dataType.simpleString()
     names = ["doc", "region", "start", "words", "hits"]
@@ -160,19 +157,11 @@ def passages(docs: DataFrame, table: np.ndarray, sizes: list[int], reach: int, d
                         for r in regions(w, hasher.words(w)):
                             take.append(k)
                             rows.append(r)
-                cols = [pa.array([secrets.randbits(63) for _ in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
+                cols = [pa.array([xxhash.xxh128_digest(r[1]) for r in rows], pa.binary()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *cols], names)
 
     source = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string"))
-    return source.mapInArrow(run, f"doc {kind}, region long, start long, words string, hits array<long>")
-
-
-def seeds(known: DataFrame) -> DataFrame:
-    """(item, gram) of known (region, gram, item) that are rare in the corpus, or
-    among the rarer of their item, so that no item is left without seeds."""
-    often = known.groupBy("item", "gram").agg(F.count("*").alias("n"))
-    rank = F.percent_rank().over(Window.partitionBy("item").orderBy("n"))
-    return often.withColumn("rank", rank).filter((F.col("n") <= RARE) | (F.col("rank") <= RARER_SHARE)).select("item", "gram")
+    return source.mapInArrow(run, f"doc {kind}, region binary, start long, words string, hits array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", item: str = "item_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -184,23 +173,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id",
     null; rows that repeat a doc_id or item_id count as one, the best; empty
     tables give none; other columns are left out.
     """
-    doc_kind, item_kind = docs.schema[doc].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
+    item_kind = benchmark.schema[item].dataType.simpleString()
     docs, benchmark = docs.filter(F.col(doc).isNotNull()), benchmark.filter(F.col(item).isNotNull())
     grams = materialize(item_grams(benchmark, item, text), "item-grams")
     about = grams.agg(F.collect_set("size").alias("sizes"), F.max("n_words").alias("reach")).first()
     found = materialize(passages(docs, bit_table(grams), sorted(about["sizes"]), about["reach"] or 0, doc, text), "passages")
-    hits = found.select("region", F.explode("hits").alias("gram"))
-    known = materialize(hits.join(grams.select("item", "gram").distinct(), "gram"), "hits")
-    pairs = known.join(seeds(known), ["item", "gram"]).select("region", "item").distinct()
-    items = benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("item_text"))
-    rows = pairs.join(found.select("region", "doc", "start", "words"), "region").join(items, "item")
+    distinct = materialize(found.groupBy("region").agg(F.first("words").alias("words"), F.first("hits").alias("hits")), "distinct-passages")
+    hits = distinct.select("region", F.explode("hits").alias("gram"))
+    pairs = hits.join(grams.select("item", "gram").distinct(), "gram").select("region", "item").distinct()
+    items = benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("item_text")).distinct()
+    rows = pairs.join(distinct.select("region", "words"), "region").join(items, "item")
 
     def run(batches):
         hasher = Hasher()
         for b in batches:
             take, out = [], []
-            starts = b.column(3).to_pylist()
-            for k, (words, t) in enumerate(zip(b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True)):
+            for k, (words, t) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 want = hasher.words(tokens(t or ""))
                 if not len(want):
                     continue
@@ -208,11 +196,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id",
                 best, first, end = span(have, want)
                 if best >= threshold * MATCH * len(want):
                     take.append(k)
-                    out.append((best / (MATCH * len(want)), starts[k] + first, end - first))
+                    out.append((best / (MATCH * len(want)), first, end - first))
             at = pa.array(take, pa.int64())
             cols = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *cols], ["doc_id", "item_id", "score", "start", "n_words"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *cols], ["region", "item_id", "score", "first", "n_words"])
 
-    scored = rows.select("doc", "item", "words", "start", "item_text").mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, score double, start long, n_words long")
+    aligned = rows.select("region", "item", "words", "item_text").mapInArrow(run, f"region binary, item_id {item_kind}, score double, first long, n_words long")
+    scored = found.select("region", F.col("doc").alias("doc_id"), "start").join(materialize(aligned, "aligned"), "region").withColumn("start", F.col("start") + F.col("first"))
     best = F.max(F.struct("score", (-F.col("start")).alias("back"), "n_words")).alias("b")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", (-F.col("b.back")).alias("start"), "b.n_words")

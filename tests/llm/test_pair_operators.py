@@ -181,6 +181,19 @@ def test_contaminated(spark):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_contaminated_with_frequent_seeds(spark):
+    """A copy whose only intact words are found in over a thousand other passages."""
+    item = prose(20, 970).split()
+    changed = [w if 8 <= k < 13 or k % 2 else f"changed{k}" for k, w in enumerate(item)]
+    texts = [prose(30, 971) + " " + " ".join(changed) + " " + prose(30, 972)]
+    texts += [f"a{k} b{k} c{k} " + " ".join(item[8:13]) + f" d{k} e{k}" for k in range(1100)] + [" ".join(item)] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    want = {k: brute_align(t.split(), item) / 40 for k, t in enumerate(texts)}
+    got = {r["doc_id"]: r["score"] for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {k: x for k, x in want.items() if x >= 0.5} and set(got) == {0, 1101, 1102, 1103}
+
+
 def brute_align(doc, item):
     best, row = 0, [0] * (len(doc) + 1)
     for w in item:
