@@ -9,6 +9,7 @@ left out are scored too. Equal passages are aligned once.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -21,7 +22,12 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import materialize, split
 
 #: Words in an n-gram; bits of the table (fixed, whatever the benchmark's size).
-GRAM, TABLE_BITS = 5, 1 << 25
+GRAM, TABLE_BITS = 3, 1 << 25
+#: Places of an n-gram's words, in items and documents: in a row, or one word skipped.
+#: In a copy without a common n-gram, any three successive matches have two edits
+#: between them, so m matches have m - 2 edits and score m + 2 at most: every copy of an
+#: item of n words that scores n + 3 or more (of 2 n) has one, whatever its edits.
+PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 #: Alignment scores, and the share of an item's full score that counts as a copy.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
 #: Words of which hashes are remembered by a task.
@@ -49,18 +55,23 @@ class Hasher:
         return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
 
     @staticmethod
-    def grams(words: np.ndarray, size: int) -> np.ndarray:
-        """Hash of each run of size words."""
-        n = len(words) - size + 1
+    def grams(words: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
+        """Hash of the words at places after each word that has them."""
+        n = len(words) - places[-1]
         if n <= 0:
             return np.empty(0, np.uint64)
-        h = np.full(n, size, dtype=np.uint64)
-        for k in range(size):
+        h = np.full(n, len(places), dtype=np.uint64)
+        for k in places:
             h = (h ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         return h
 
 
+def patterns(size: int) -> tuple[tuple[int, ...], ...]:
+    """Places of the words of n-grams of size words."""
+    return PATTERNS if size == GRAM else (tuple(range(size)),)
+
+
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     """(best local score, end in doc) of aligning word hashes doc and item.
 
@@ -98,7 +109,7 @@ def item_grams(benchmark: DataFrame, item: str, text: str) -> DataFrame:
             take = []
             for k, t in enumerate(b.column(1).to_pylist()):
                 w = hasher.words(tokens(t or ""))
-                g = np.unique(Hasher.grams(w, min(GRAM, len(w)))) if len(w) else []
+                g = np.unique(np.concatenate([Hasher.grams(w, p) for p in patterns(min(GRAM, len(w)))])) if len(w) else []
                 take += [k] * len(g)
                 rows["gram"] += np.asarray(g, dtype=np.uint64).view(np.int64).tolist()
                 rows["size"] += [min(GRAM, len(w))] * len(g)
@@ -130,8 +141,8 @@ def passages(docs: DataFrame, table: np.ndarray, sizes: list[int], reach: int, d
 
     def regions(words: list[str], hashes: np.ndarray) -> Iterator[tuple[int, str, list[int]]]:
         at, gram = [], []
-        for size in sizes:
-            g = Hasher.grams(hashes, size)
+        for places in itertools.chain.from_iterable(map(patterns, sizes)):
+            g = Hasher.grams(hashes, places)
             low = g & np.uint64(TABLE_BITS - 1)
             hit = np.flatnonzero((spread.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
             at.append(hit)
@@ -144,7 +155,7 @@ def passages(docs: DataFrame, table: np.ndarray, sizes: list[int], reach: int, d
         cuts = np.flatnonzero(np.diff(place) > 2 * reach) + 1
         for p, g in zip(np.split(place, cuts), np.split(found, cuts), strict=True):
             start = max(0, int(p[0]) - reach)
-            yield start, " ".join(words[start : int(p[-1]) + GRAM + reach]), np.unique(g).tolist()
+            yield start, " ".join(words[start : int(p[-1]) + GRAM + 1 + reach]), np.unique(g).tolist()
 
     def run(batches):
         hasher = Hasher()
@@ -177,7 +188,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id",
     docs, benchmark = docs.filter(F.col(doc).isNotNull()), benchmark.filter(F.col(item).isNotNull())
     grams = materialize(item_grams(benchmark, item, text), "item-grams")
     about = grams.agg(F.collect_set("size").alias("sizes"), F.max("n_words").alias("reach")).first()
-    found = materialize(passages(docs, bit_table(grams), sorted(about["sizes"]), about["reach"] or 0, doc, text), "passages")
+    # a copy that scores half or more covers up to twice its item's words
+    found = materialize(passages(docs, bit_table(grams), sorted(about["sizes"]), 2 * (about["reach"] or 0), doc, text), "passages")
     distinct = materialize(found.groupBy("region").agg(F.first("words").alias("words"), F.first("hits").alias("hits")), "distinct-passages")
     hits = distinct.select("region", F.explode("hits").alias("gram"))
     pairs = hits.join(grams.select("item", "gram").distinct(), "gram").select("region", "item").distinct()
@@ -193,6 +205,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id",
                 if not len(want):
                     continue
                 have = hasher.words(words.split(" "))
+                if np.isin(want, have).sum() < threshold * len(want):
+                    continue  # no alignment matches more words than these
                 best, first, end = span(have, want)
                 if best >= threshold * MATCH * len(want):
                     take.append(k)

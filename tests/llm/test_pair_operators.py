@@ -194,6 +194,29 @@ def test_contaminated_with_frequent_seeds(spark):
     assert got == {k: x for k, x in want.items() if x >= 0.5} and set(got) == {0, 1101, 1102, 1103}
 
 
+def test_contaminated_with_evenly_spread_edits(spark):
+    """Every k-th word changed or left out, a word put in after every k, or edits at
+    random: whatever brute force scores at 0.5 + 1.5 / n or more is found."""
+    r, texts, items = random.Random(31), [], [prose(n, 980 + n) for n in (8, 12, 20, 41)]
+    for t in items:
+        w = t.split()
+        for k in range(2, 8):
+            texts.append([x if (i + 1) % k else f"new{i}" for i, x in enumerate(w)])
+            texts.append([x for i, x in enumerate(w) if (i + 1) % k])
+            texts.append([y for i, x in enumerate(w) for y in ([x] if (i + 1) % k else [x, f"in{i}"])])
+        for _ in range(20):
+            at = r.sample(range(len(w)), r.randrange(len(w) // 2))
+            texts.append([x if i not in at else f"new{i}" for i, x in enumerate(w)])
+    texts = [[*prose(60, 2000 + k).split(), *t, *prose(60, 3000 + k).split()] for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    score = {(d, i): brute_align(t, items[i].split()) / (2 * len(items[i].split())) for d, t in enumerate(texts) for i in range(len(items))}
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontamination.contaminated(docs, bench).collect()}
+    assert all(score[k] == pytest.approx(x) and x >= 0.5 for k, x in got.items())
+    due = {(d, i) for (d, i), x in score.items() if x >= 0.5 + 1.5 / len(items[i].split())}
+    assert due <= set(got) and len(due) > 60
+
+
 def brute_align(doc, item):
     best, row = 0, [0] * (len(doc) + 1)
     for w in item:
