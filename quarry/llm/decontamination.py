@@ -1,15 +1,17 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Documents are scanned once against a fixed-size bit table of the benchmark's word
-n-grams; only passages around a hit are kept. Hits are joined to the n-grams
-exactly. Every n-gram of an item is a seed, however frequent: a passage that holds
-one is aligned to the item word by word, so that copies with words changed, added or
-left out are scored too. Equal passages are aligned once.
+The benchmark is the query set: it is taken in blocks of a bounded number of words,
+and every task holds a block while it reads the documents once. A word n-gram that a
+document and an item share is a seed, however frequent; it joins the stretch of the
+document around it to the item. A stretch in which even a match of every word that the
+item holds would not score enough is discarded, and what is left is aligned to the
+item word by word, so that copies with words changed, added or left out are scored
+too. Documents are never shuffled; only scores are.
 """
 
 from __future__ import annotations
 
-import itertools
+import functools
 import re
 from collections.abc import Iterator
 
@@ -19,10 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import materialize, split
+from quarry.llm.shared import bucket, materialize, release, split
 
-#: Words in an n-gram; bits of the table (fixed, whatever the benchmark's size).
-GRAM, TABLE_BITS = 3, 1 << 25
+#: Words in an n-gram; bits of a table of a block's n-grams, looked at before they are.
+GRAM, TABLE_BITS = 3, 1 << 22
+MASK = np.uint64(TABLE_BITS - 1)
+#: Words of benchmark items in a block, about: a longer item is a block by itself.
+BLOCK_WORDS = 1_000_000
 #: Places of an n-gram's words, in items and documents: in a row, or one word skipped.
 #: In a copy without a common n-gram, any three successive matches have two edits
 #: between them, so m matches have m - 2 edits and score m + 2 at most: every copy of an
@@ -98,124 +103,134 @@ def span(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best, end - back, end
 
 
-def item_grams(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, gram, size, n_words): n-grams of every item; one of fewer than GRAM
-    words has its whole as one gram."""
+class Block:
+    """Items of a block as word hashes, and their n-grams in order of hash.
 
-    def run(batches):
-        hasher = Hasher()
-        for b in batches:
-            rows: dict[str, list] = {"gram": [], "size": [], "n_words": []}
-            take = []
-            for k, t in enumerate(b.column(1).to_pylist()):
-                w = hasher.words(tokens(t or ""))
-                g = np.unique(np.concatenate([Hasher.grams(w, p) for p in patterns(min(GRAM, len(w)))])) if len(w) else []
-                take += [k] * len(g)
-                rows["gram"] += np.asarray(g, dtype=np.uint64).view(np.int64).tolist()
-                rows["size"] += [min(GRAM, len(w))] * len(g)
-                rows["n_words"] += [len(w)] * len(g)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array(rows["gram"], pa.int64()), pa.array(rows["size"], pa.int32()), pa.array(rows["n_words"], pa.int32())], ["item", "gram", "size", "n_words"])
-
-    kind = benchmark.schema[item].dataType.simpleString()
-    return benchmark.select(F.col(item).alias("item"), F.col(text).cast("string")).mapInArrow(run, f"item {kind}, gram long, size int, n_words int")
-
-
-def bit_table(grams: DataFrame) -> np.ndarray:
-    """Which low bits of gram hashes occur: TABLE_BITS bits, whatever their number."""
-    low = F.col("gram").bitwiseAND(F.lit(TABLE_BITS - 1))
-    cells = grams.groupBy(F.shiftright(low, 6).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(63).cast("int"))).alias("bits"))
-    rows = cells.collect()  # at most TABLE_BITS / 64 rows
-    table = np.zeros(TABLE_BITS // 64, dtype=np.uint64)
-    for r in rows:
-        table[r["cell"]] = np.uint64(r["bits"] & (2**64 - 1))
-    return table
-
-
-def passages(docs: DataFrame, table: np.ndarray, sizes: list[int], reach: int, doc: str, text: str) -> DataFrame:
-    """(doc, region, start, words, hits): stretches of documents around n-grams that
-    the table holds, reach words to either side; hits are the distinct gram hashes.
-    region is a 128-bit hash of words: equal passages share it, and their hits."""
-    spread = docs.sparkSession.sparkContext.broadcast(table)
-    kind = docs.schema[doc].dataType.simpleString()
-    names = ["doc", "region", "start", "words", "hits"]
-
-    def regions(words: list[str], hashes: np.ndarray) -> Iterator[tuple[int, str, list[int]]]:
-        at, gram = [], []
-        for places in itertools.chain.from_iterable(map(patterns, sizes)):
-            g = Hasher.grams(hashes, places)
-            low = g & np.uint64(TABLE_BITS - 1)
-            hit = np.flatnonzero((spread.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
-            at.append(hit)
-            gram.append(g[hit])
-        if not sum(map(len, at)):
-            return
-        place, found = np.concatenate(at), np.concatenate(gram).view(np.int64)
-        order = np.argsort(place, kind="stable")
-        place, found = place[order], found[order]
-        cuts = np.flatnonzero(np.diff(place) > 2 * reach) + 1
-        for p, g in zip(np.split(place, cuts), np.split(found, cuts), strict=True):
-            start = max(0, int(p[0]) - reach)
-            yield start, " ".join(words[start : int(p[-1]) + GRAM + 1 + reach]), np.unique(g).tolist()
-
-    def run(batches):
+    An item of fewer than GRAM words has its whole as its one n-gram."""
+
+    def __init__(self, texts: list[str]):
         hasher = Hasher()
-        for whole in batches:
-            for b in split(whole):
-                take, rows = [], []
-                for k, t in enumerate(b.column(1).to_pylist()):
-                    if t:
-                        w = tokens(t)
-                        for r in regions(w, hasher.words(w)):
-                            take.append(k)
-                            rows.append(r)
-                cols = [pa.array([xxhash.xxh128_digest(r[1]) for r in rows], pa.binary()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *cols], names)
-
-    source = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string"))
-    return source.mapInArrow(run, f"doc {kind}, region binary, start long, words string, hits array<long>")
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", item: str = "item_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+        self.words = [hasher.words(tokens(t)) for t in texts]
+        self.count = np.fromiter(map(len, self.words), dtype=np.int64, count=len(texts))
+        self.sizes = sorted({min(GRAM, len(w)) for w in self.words if len(w)})
+        own = [np.unique(np.concatenate([Hasher.grams(w, p) for p in patterns(min(GRAM, len(w)))])) if len(w) else np.empty(0, np.uint64) for w in self.words]
+        grams, item = np.concatenate([*own, np.empty(0, np.uint64)]), np.repeat(np.arange(len(own)), [len(g) for g in own])
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.item = grams[order], item[order]
+        self.bits = np.zeros(TABLE_BITS, dtype=bool)
+        self.bits[self.grams & MASK] = True
+
+    def seeds(self, words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) of every n-gram of words that an item holds too, none of which
+        reaches over into another text; text: the text of each word."""
+        place, item = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for places in [p for size in self.sizes for p in patterns(size)]:
+            g = Hasher.grams(words, places)
+            at = np.flatnonzero(self.bits[g & MASK])
+            at = at[text[at] == text[at + places[-1]]]
+            low, high = np.searchsorted(self.grams, g[at], side="left"), np.searchsorted(self.grams, g[at], side="right")
+            n = high - low
+            place.append(np.repeat(at, n))
+            item.append(self.item[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        return np.concatenate(place), np.concatenate(item)
+
+
+def stretches(have: np.ndarray, want: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """(start, end) of parts of have outside which no alignment to want scores least.
+
+    A word of have that want holds adds a match at most, any other one takes off an
+    edit. No alignment scores more than the sum over the words it covers, and the best
+    one starts with no sum of zero or less: it is inside one rise of the running sum
+    above its least value so far."""
+    total = np.cumsum(np.where(np.isin(have, want), MATCH, max(MISMATCH, GAP)))
+    rise = total - np.minimum(np.minimum.accumulate(total), 0)
+    if rise.max(initial=0) < least:
+        return
+    low = np.flatnonzero(rise <= 0)
+    edges = np.concatenate([[-1], low, [len(have)]])
+    for k in np.unique(np.searchsorted(low, np.flatnonzero(rise >= least))):
+        yield int(edges[k]) + 1, int(edges[k + 1])
+
+
+def copies(block: Block, words: np.ndarray, text: np.ndarray, begin: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """(text, item, score, start, words covered) of the best alignment of each text to
+    each item that scores threshold of the item's full score or more.
+
+    words: hashes of the words of texts, one after the other; begin: where each text
+    begins, and the end. An alignment that scores enough covers a seed and at most as
+    many words to either side as all scores could pay for."""
+    place, item = block.seeds(words, text)
+    if not len(place):
+        return
+    order = np.lexsort((place, item, text[place]))
+    place, item = place[order], item[order]
+    size = block.count[item]
+    reach = np.ceil(size * MATCH * (1 - threshold) / -max(MISMATCH, GAP)).astype(np.int64) + size + GRAM
+    owner = text[place]
+    low, high = np.maximum(place - reach, begin[owner]), np.minimum(place + reach, begin[owner + 1])
+    apart = np.flatnonzero((owner[1:] != owner[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])) + 1
+    best: tuple | None = None
+    for a, b in zip([0, *apart.tolist()], [*apart.tolist(), len(place)], strict=True):
+        at, t, i = int(low[a]), int(owner[a]), int(item[a])
+        have, want = words[at : int(high[b - 1])], block.words[i]
+        least = threshold * MATCH * len(want)
+        for x, y in stretches(have, want, least):
+            score, first, end = span(have[x:y], want)
+            if score >= least:
+                found = (t, i, score / (MATCH * len(want)), at + x + first - int(begin[t]), end - first)
+                if best and best[:2] == (t, i):
+                    best = max(best, found, key=lambda f: (f[2], -f[3]))
+                else:
+                    if best:
+                        yield best
+                    best = found
+    if best:
+        yield best
+
+
+def blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[pa.Table]:
+    """The items of benchmark (item, text), distinct, in blocks of about most words."""
+    rows = benchmark.select(F.col(item).alias("item"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).filter("text <> ''").distinct()
+    rows = materialize(rows.withColumn("words", F.size(F.split("text", r"[^\p{L}\p{N}]+"))), "benchmark")
+    n = max(1, -(-(rows.agg(F.sum("words")).first()[0] or 0) // most))
+    for k in range(n):
+        found = rows.filter(bucket(n, F.col("item"), F.col("text")) == k).select("item", "text").toArrow()
+        if found.num_rows:
+            yield found
+    release(rows)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", item: str = "item_id", text: str = "text", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score, start, n_words) of documents that hold a copy of a
     benchmark item: the best alignment's share of the item's full score, threshold
     or more, and the words (letters and digits) of the document that it covers.
 
-    Null and empty texts on either side match nothing, nor do rows whose id is
-    null; rows that repeat a doc_id or item_id count as one, the best; empty
-    tables give none; other columns are left out.
+    docs are read once for every block_words words of the benchmark. Null and empty
+    texts on either side match nothing, nor do rows whose id is null; rows that repeat
+    a doc_id or item_id count as one, the best; of equal scores the first in the text
+    counts; empty tables give none; other columns are left out.
     """
-    item_kind = benchmark.schema[item].dataType.simpleString()
-    docs, benchmark = docs.filter(F.col(doc).isNotNull()), benchmark.filter(F.col(item).isNotNull())
-    grams = materialize(item_grams(benchmark, item, text), "item-grams")
-    about = grams.agg(F.collect_set("size").alias("sizes"), F.max("n_words").alias("reach")).first()
-    # a copy that scores half or more covers up to twice its item's words
-    found = materialize(passages(docs, bit_table(grams), sorted(about["sizes"]), 2 * (about["reach"] or 0), doc, text), "passages")
-    distinct = materialize(found.groupBy("region").agg(F.first("words").alias("words"), F.first("hits").alias("hits")), "distinct-passages")
-    hits = distinct.select("region", F.explode("hits").alias("gram"))
-    pairs = hits.join(grams.select("item", "gram").distinct(), "gram").select("region", "item").distinct()
-    items = benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("item_text")).distinct()
-    rows = pairs.join(distinct.select("region", "words"), "region").join(items, "item")
-
-    def run(batches):
-        hasher = Hasher()
-        for b in batches:
-            take, out = [], []
-            for k, (words, t) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                want = hasher.words(tokens(t or ""))
-                if not len(want):
-                    continue
-                have = hasher.words(words.split(" "))
-                if np.isin(want, have).sum() < threshold * len(want):
-                    continue  # no alignment matches more words than these
-                best, first, end = span(have, want)
-                if best >= threshold * MATCH * len(want):
-                    take.append(k)
-                    out.append((best / (MATCH * len(want)), first, end - first))
-            at = pa.array(take, pa.int64())
-            cols = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *cols], ["region", "item_id", "score", "first", "n_words"])
-
-    aligned = rows.select("region", "item", "words", "item_text").mapInArrow(run, f"region binary, item_id {item_kind}, score double, first long, n_words long")
-    scored = found.select("region", F.col("doc").alias("doc_id"), "start").join(materialize(aligned, "aligned"), "region").withColumn("start", F.col("start") + F.col("first"))
+    kind, item_kind = docs.schema[doc].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
+    source = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).cast("string"))
+
+    def against(items: pa.Table) -> DataFrame:
+        spread = docs.sparkSession.sparkContext.broadcast((items.column("item").combine_chunks(), items.column("text").to_pylist()))
+
+        def run(batches):
+            ids, texts = spread.value
+            block, hasher = Block(texts), Hasher()
+            for whole in batches:
+                for b in split(whole):
+                    own = [tokens(t) if t else [] for t in b.column(1).to_pylist()]
+                    n = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+                    words = np.concatenate([hasher.words(w) for w in own])
+                    found = list(copies(block, words, np.repeat(np.arange(len(own)), n), np.concatenate([[0], np.cumsum(n)]), threshold))
+                    cols = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(cols[0]), ids.take(cols[1]), *cols[2:]], ["doc_id", "item_id", "score", "start", "n_words"])
+
+        return materialize(source.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, score double, start long, n_words long"), "aligned")
+
+    found = [against(x) for x in blocks(benchmark.filter(F.col(item).isNotNull()), item, text, block_words)]
+    scored = functools.reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {item_kind}, score double, start long, n_words long")
     best = F.max(F.struct("score", (-F.col("start")).alias("back"), "n_words")).alias("b")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", (-F.col("b.back")).alias("start"), "b.n_words")

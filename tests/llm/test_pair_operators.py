@@ -429,3 +429,40 @@ def test_discriminant_is_the_gaussian_one():
         z = x[0] - x[k].mean(0)
         log.append(-0.5 * (z @ np.linalg.inv(s) * z).sum(1) - 0.5 * np.linalg.slogdet(s)[1] + np.log((len(x[k]) + 1) / 502))
     assert np.allclose(model.score(x[0]), 1 / (1 + np.exp((log[0] - log[1]) / quality_classifier.TEMPERATURE)))
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 30])
+def test_contaminated_with_words_changed_or_left_out(spark, block_words):
+    """Whatever brute force scores at half or more is found, if no words are put in."""
+    r, texts, items = random.Random(41), [], [prose(n, 4000 + n) for n in (12, 20, 40)]
+    for t in items:
+        w = t.split()
+        for rate in (0.1, 0.2, 0.3):
+            for _ in range(25):
+                at = set(r.sample(range(len(w)), round(rate * len(w))))
+                out = [x if i not in at else f"new{i}" for i, x in enumerate(w) if i not in at or r.random() < 0.6]
+                texts.append([*prose(20).split(), *out, *prose(20).split()])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    score = {(d, i): brute_align(t, items[i].split()) / (2 * len(items[i].split())) for d, t in enumerate(texts) for i in range(len(items))}
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontamination.contaminated(docs, bench, block_words=block_words).collect()}
+    assert got == {k: pytest.approx(x) for k, x in score.items() if x >= 0.5} and len(got) > 150
+
+
+def test_stretches_keep_the_best_alignment():
+    r = random.Random(43)
+    for _ in range(300):
+        item = np.array([r.randrange(8) for _ in range(r.randrange(3, 12))], dtype=np.uint64)
+        doc = np.array([r.randrange(20) for _ in range(r.randrange(0, 80))], dtype=np.uint64)
+        best, least = brute_align(doc.tolist(), item.tolist()), len(item)
+        found = [decontamination.align(doc[a:b], item)[0] for a, b in decontamination.stretches(doc, item, least)]
+        assert max(found, default=0) == best if best >= least else all(x < least for x in found)
+
+
+def test_contaminated_in_a_long_text_of_many_hits(spark):
+    items = [prose(30, 5000 + k) for k in range(20)]
+    text = " ".join(items * 40) + " " + prose(50_000, 5100)
+    docs = spark.createDataFrame([(0, text), (1, text), (2, prose(1000))], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["score"], r["start"], r["n_words"]) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {(d, k, 1.0, 30 * k, 30) for d in (0, 1) for k in range(20)}
