@@ -7,10 +7,14 @@ share one class, in which a word has its add-one share of the corpus counts. So
 the probabilities of a context sum to one over words seen, plus one for unseen.
 
 Features are hashed into two weight tables of fixed size, one with a column per
-class, one with a column per word of a class. Every partition runs gradient steps
-over all its training texts from the same start, and the tables are averaged,
-row by row, in Spark. Scores are made in batches by gathering the few rows that
-the features of a token name.
+class, one with a column per word of a class. Training goes in rounds, each over
+its own part of the training texts, so that every text is learned from once. In a
+round tasks add up, for every weight, how often its feature and outcome were
+observed and how often the model expected them; Spark sums both over all tasks, and
+the driver takes one gradient step for the whole round: observed less expected, over
+their mean (the curvature, nearly). Tasks take no steps of their own, so the model
+does not depend on how texts are dealt to them. Scores are made in batches by
+gathering the few rows that the features of a token name.
 """
 
 from __future__ import annotations
@@ -30,17 +34,23 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import materialize, split
 
 #: Classes (the first is that of all other words), words in a class, rows of the
-#: class table and of the word table, positions in a gradient step.
-CLASSES, MEMBERS, CLASS_ROWS, WORD_ROWS, STEP = 20, 20, 1 << 13, 1 << 14, 16_384
-#: Words before a token that features look at; learning rate; passes over the data.
-BEFORE, RATE, PASSES = 3, 0.3, 1
-#: Words of which every task holds the counts, at most; the others are joined.
-HELD_WORDS = 100_000
+#: class table and of the word table (powers of two), positions looked at at a time,
+#: and summed up at a time.
+CLASSES, MEMBERS, CLASS_ROWS, WORD_ROWS, STEP, SUMMED = 32, 32, 1 << 14, 1 << 15, 8_192, 1 << 16
+#: Words before a token that features look at; rounds; the step of a round, and the
+#: count by which the steps of rare features are damped. A weight moves by at most
+#: 2 * RATE in a round, so no exponential of the model's overflows.
+BEFORE, ROUNDS, RATE, DAMP = 3, 4, 0.5, 2.0
+#: Training tokens for which a task of a round sums up tables.
+TASK_TOKENS = 5_000_000
+#: Words of which every task holds the counts, at most, and their longest, in bytes;
+#: the others are joined.
+HELD_WORDS, HELD_BYTES = 100_000, 256
 #: Endings by which other words are features; distinct words a task counts at a time.
 ENDINGS, AT_A_TIME = 4096, 400_000
 END = b""
 #: Features of the class table (all) and of the word table (the first ones).
-FEATURES, WORD_FEATURES = 4, 2
+FEATURES, WORD_FEATURES = 4, (0, 1, 3)
 
 
 @dataclass
@@ -99,7 +109,7 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 class Model:
-    """Weight tables; biases are the vocabulary's shares plus learned rows."""
+    """Weight tables; biases are the vocabulary's shares."""
 
     def __init__(self, class_bias, word_bias, class_table=None, word_table=None):
         self.class_bias, self.word_bias = class_bias, word_bias
@@ -108,75 +118,94 @@ class Model:
 
     @staticmethod
     def features(numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Hashes of the features of positions at (FEATURES, positions): the three
-        word before, the two that skip one and two words, and the pair before."""
+        """Hashes of the features of positions at (FEATURES, positions): the word
+        before, the two that skip one and two words, and the pair before."""
         w = [numbers[at - k] for k in range(1, BEFORE + 1)]
         return np.stack([mixed(w[0], 1), mixed(w[1], 2), mixed(w[2], 3), mixed(w[0] * 65_536 + w[1], 4)])
 
-    def rows(self, hashes: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
-        if classes is None:
-            return (hashes >> np.uint64(20)).astype(np.int64) % CLASS_ROWS
-        return (mixed(hashes ^ (classes.astype(np.uint64) << np.uint64(40)), 7) >> np.uint64(20)).astype(np.int64) % WORD_ROWS
-
     @staticmethod
-    def softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probabilities, log of their sum before scaling) by row, in place."""
-        top = logits.max(axis=1, keepdims=True)
-        logits -= top
-        p = np.exp(logits)
-        total = p.sum(axis=1, keepdims=True)
-        p /= total
-        return p, (np.log(total) + top)[:, 0]
-
-    def gathered(self, table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        out = table[rows[0]]
-        for r in rows[1:]:
-            out += table[r]
-        out += bias
-        return out
+    def class_rows(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(20)) & np.uint64(CLASS_ROWS - 1)).astype(np.int64)
 
-    def log_probabilities(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of the class of each position and, for
-        words of the model's own, of the word in it."""
-        h, own = self.features(numbers, at), numbers[at]
-        k = np.where(own < CLASSES * MEMBERS, own // MEMBERS + 1, 0)
-        logits = self.gathered(self.class_table, self.rows(h), self.class_bias)
-        picked = logits[np.arange(len(at)), k].copy()
-        out = picked - self.softmax(logits)[1]
-        known = np.flatnonzero(k)
-        if len(known):
-            logits = self.gathered(self.word_table, self.rows(h[:WORD_FEATURES, known], k[known]), self.word_bias[k[known]])
-            picked = logits[np.arange(len(known)), own[known] % MEMBERS].copy()
-            out[known] += picked - self.softmax(logits)[1]
-        return out.astype(np.float64)
+    @staticmethod
+    def word_rows(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        h = mixed(hashes ^ (classes.astype(np.uint64) << np.uint64(40)), 7)
+        return ((h >> np.uint64(20)) & np.uint64(WORD_ROWS - 1)).astype(np.int64)
 
-    def train(self, numbers: np.ndarray, at: np.ndarray, squares: tuple[np.ndarray, np.ndarray]) -> None:
-        """A gradient step on positions at; squares: what rows have moved so far."""
+    @staticmethod
+    def exponentials(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(exponentials of the logits, their sum) of each position."""
+        e = np.take(table, rows[0], axis=0)
+        for r in rows[1:]:
+            e += np.take(table, r, axis=0)
+        e += bias
+        np.exp(e, out=e)
+        return e, e @ np.ones(e.shape[1], np.float32)
+
+    def decisions(self, numbers: np.ndarray, at: np.ndarray):
+        """(rows, outcome, exponentials, sum, positions) of the choice of a class at
+        every position, then of a word of the class where it is the model's own."""
         h, own = self.features(numbers, at), numbers[at]
         k = np.where(own < CLASSES * MEMBERS, own // MEMBERS + 1, 0)
-        rows = self.rows(h)
-        p, _ = self.softmax(self.gathered(self.class_table, rows, self.class_bias))
-        p[np.arange(len(at)), k] -= 1
-        descend(self.class_table, rows, p, squares[0])
+        rows = self.class_rows(h)
+        yield rows, k, *self.exponentials(self.class_table, rows, self.class_bias), slice(None)
         known = np.flatnonzero(k)
         if len(known):
-            rows = self.rows(h[:WORD_FEATURES, known], k[known])
-            p, _ = self.softmax(self.gathered(self.word_table, rows, self.word_bias[k[known]]))
-            p[np.arange(len(known)), own[known] % MEMBERS] -= 1
-            descend(self.word_table, rows, p, squares[1])
+            rows = self.word_rows(h[WORD_FEATURES, :][:, known], k[known])
+            yield rows, own[known] % MEMBERS, *self.exponentials(self.word_table, rows, np.take(self.word_bias, k[known], axis=0)), known
 
+    def log_probabilities(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of the class of each position and, for
+        words of the model's own, of the word in it."""
+        out = np.zeros(len(at))
+        for _, outcome, e, total, where in self.decisions(numbers, at):
+            out[where] += np.log(e[np.arange(len(outcome)), outcome] / total)
+        return out
 
-def descend(table: np.ndarray, rows: np.ndarray, gradient: np.ndarray, squares: np.ndarray) -> None:
-    """table -= rate * summed gradient of each row, over the root of its squares."""
-    width = table.shape[1]
-    # an array that was pickled has a type of its own, for which add.at is slow
-    total, flat = np.zeros(table.size, np.float32), gradient.ravel().view(np.float32)
-    for own in rows:
-        np.add.at(total, (own[:, None] * width + np.arange(width)).ravel(), flat)
-    at = np.flatnonzero(np.bincount(rows.ravel(), minlength=len(table)))
-    total = total.reshape(table.shape)[at]
-    squares[at] += np.einsum("ij,ij->i", total, total) / width
-    table[at] -= (RATE / np.sqrt(squares[at] + 1.0))[:, None] * total
+    def moved(self, sums: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+        """This model after a gradient step on (observed, expected) of both tables."""
+        step = [RATE * (o - e) / ((o + e) / 2 + DAMP) for o, e in sums]
+        return Model(self.class_bias, self.word_bias, (self.class_table + step[0]).astype(np.float32), (self.word_table + step[1]).astype(np.float32))
+
+
+class Sums:
+    """How often features met outcomes, and how often a model expected them to."""
+
+    def __init__(self) -> None:
+        shapes = ((CLASS_ROWS, CLASSES, FEATURES), (WORD_ROWS, MEMBERS, len(WORD_FEATURES)))
+        self.observed = [np.zeros(n * c, np.int64) for n, c, _ in shapes]
+        # a line per outcome, as each is summed up by itself, SUMMED positions at a time
+        self.expected = [np.zeros((c, n)) for n, c, _ in shapes]
+        self.share = [np.empty((c, SUMMED)) for _, c, _ in shapes]
+        self.row = [np.empty((f, SUMMED), np.int64) for _, _, f in shapes]
+        self.held = [0, 0]
+
+    def add(self, model: Model, numbers: np.ndarray, at: np.ndarray) -> None:
+        """Add up to STEP positions at."""
+        for k, (rows, outcome, e, total, _) in enumerate(model.decisions(numbers, at)):
+            if self.held[k] + len(e) > SUMMED:
+                self.sum_up(k)
+            here = slice(self.held[k], self.held[k] + len(e))
+            self.row[k][:, here] = rows
+            np.divide(e.T, total, out=self.share[k][:, here])
+            self.held[k] = here.stop
+            for r in rows:
+                np.add.at(self.observed[k], r * e.shape[1] + outcome, 1)
+
+    def sum_up(self, k: int) -> None:
+        n, self.held[k] = self.held[k], 0
+        for total, p in zip(self.expected[k], self.share[k], strict=True):
+            for r in self.row[k]:
+                total += np.bincount(r[:n], p[:n], len(total))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, observed, expected) of every row met, those of the word table after
+        those of the class table."""
+        self.sum_up(0), self.sum_up(1)
+        expected = np.concatenate([x.T for x in self.expected])
+        row = np.flatnonzero(expected.any(axis=1))
+        observed = np.concatenate([x.reshape(-1, len(y)) for x, y in zip(self.observed, self.expected, strict=True)])
+        return row, observed[row], expected[row]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -207,7 +236,8 @@ def token_counts(train: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The bounded part of counts that every task holds. The least count is taken
-    such that at most HELD_WORDS tokens have it; none is cut from a tie."""
+    such that at most HELD_WORDS tokens have it; none is cut from a tie. Tokens of
+    over HELD_BYTES bytes are left out."""
     of = counts.groupBy("n").agg(F.count("*").alias("k"))
     total = of.agg(F.sum(F.col("n") * F.col("k")).alias("tokens"), F.sum("k").alias("distinct")).first()
     level, held, most = None, 0, of.orderBy(F.desc("n")).limit(HELD_WORDS).collect()
@@ -215,7 +245,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         if held + r["k"] > HELD_WORDS:
             break
         level, held = r["n"], held + r["k"]
-    words = {} if level is None else {bytes(r["token"]): r["n"] for r in counts.filter(F.col("n") >= level).collect()}
+    words = {} if level is None else {bytes(r["token"]): r["n"] for r in counts.filter((F.col("n") >= level) & (F.octet_length("token") <= HELD_BYTES)).collect()}
     top = sorted(words, key=lambda w: (-words[w], w))[: (CLASSES - 1) * MEMBERS]
     tokens, distinct = total["tokens"] or 0, total["distinct"] or 0
     return Vocabulary(words, {w: k for k, w in enumerate(top)}, tokens, distinct, (tokens - sum(words[w] for w in top), distinct - len(top)))
@@ -235,38 +265,31 @@ def numbered(numbering: Numbering, texts: list[list[bytes]]) -> tuple[np.ndarray
 
 
 def train(docs: DataFrame, vocab: Vocabulary, model: Model) -> Model:
-    """model after a pass over docs (one text column): every task descends from it
-    over all its texts, and rows are averaged by the number of their task's tokens."""
+    """model after a gradient step on all docs (one text column)."""
     spread = docs.sparkSession.sparkContext.broadcast((vocab, model))
-    columns = [f"w{k}" for k in range(max(CLASSES, MEMBERS))]
+    columns = [f"{x}{k}" for x in "oe" for k in range(max(CLASSES, MEMBERS))]
 
     def run(batches):
-        vocab, start = spread.value
-        own = Model(start.class_bias, start.word_bias, start.class_table.copy(), start.word_table.copy())
-        numbering, seen = Numbering(vocab), 0
-        squares = np.zeros(CLASS_ROWS, np.float32), np.zeros(WORD_ROWS, np.float32)
+        vocab, model = spread.value
+        numbering, sums = Numbering(vocab), Sums()
         for batch in batches:
             for b in split(batch):
                 places, at, _ = numbered(numbering, [words_of(t) for t in b.column(0).to_pylist()])
                 numbers = numbering.feature[places]
                 for k in range(0, len(at), STEP):
-                    own.train(numbers, at[k : k + STEP], squares)
-                seen += len(at)
-        if seen:
-            table = np.concatenate([own.class_table, own.word_table]) * np.float32(seen)
-            used = np.concatenate(squares) > 0
-            row, table = np.flatnonzero(used), table[used].astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(np.full(len(row), seen), pa.int64()), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(table.shape[1]))], ["row", "seen", *columns])
-
-    sums = docs.mapInArrow(run, "row long, seen long, " + ", ".join(f"{c} double" for c in columns))
-    found = sums.groupBy("row").agg(F.sum("seen").alias("seen"), *(F.sum(c).alias(c) for c in columns)).toArrow()
-    row = found.column("row").to_numpy()
-    value = np.stack([found.column(c).to_numpy() for c in columns], axis=1)
-    # a row that few tasks met is averaged over what those saw
-    value = value / np.maximum(found.column("seen").to_numpy(), 1)[:, None]
-    table = np.concatenate([model.class_table, model.word_table])
-    table[row] = value
-    return Model(model.class_bias, model.word_bias, table[:CLASS_ROWS], table[CLASS_ROWS:])
+                    sums.add(model, numbers, at[k : k + STEP])
+        row, observed, expected = sums.rows()
+        cells = np.concatenate([observed, expected], axis=1, dtype=np.float32, casting="unsafe")
+        for k in range(0, len(row), STEP):
+            own = np.ascontiguousarray(cells[k : k + STEP].T)
+            yield pa.RecordBatch.from_arrays([pa.array(row[k : k + STEP], pa.int32()), *map(pa.array, own)], ["row", *columns])
+
+    parts = docs.mapInArrow(run, "row int, " + ", ".join(f"{c} float" for c in columns))
+    found = parts.groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()  # at most a row for each of the tables'
+    cells = np.zeros((CLASS_ROWS + WORD_ROWS, len(columns)))
+    cells[found.column("row").to_numpy()] = np.stack([found.column(c).to_numpy() for c in columns], axis=1)
+    observed, expected = np.split(cells, 2, axis=1)
+    return model.moved([(observed[:CLASS_ROWS, :CLASSES], expected[:CLASS_ROWS, :CLASSES]), (observed[CLASS_ROWS:, :MEMBERS], expected[CLASS_ROWS:, :MEMBERS])])
 
 
 def score(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
@@ -282,12 +305,14 @@ def score(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", folds: in
     """
     kind = docs.schema[doc].dataType.simpleString()
     is_held = F.coalesce(F.crc32(F.col(doc).cast("string")) % folds == held, F.lit(False))
-    learn = docs.filter(~is_held).select(F.col(text).cast("string"))
-    counts = materialize(token_counts(learn), "token-counts")
+    learn = docs.filter(~is_held)
+    turn = F.pmod(F.xxhash64(doc, text), F.lit(ROUNDS))
+    counts = materialize(token_counts(learn.select(F.col(text).cast("string"))), "token-counts")
     vocab = vocabulary(counts)
     model = Model(*vocab.starts())
-    for _ in range(PASSES if vocab.tokens else 0):
-        model = train(learn, vocab, model)
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, vocab.tokens // ROUNDS // TASK_TOKENS)
+    for k in range(ROUNDS if vocab.tokens else 0):
+        model = train(learn.filter(turn == k).select(F.col(text).cast("string")).coalesce(tasks), vocab, model)
     spread = docs.sparkSession.sparkContext.broadcast((vocab, model))
     base_of, rest_of = math.log10(vocab.tokens + vocab.distinct + 1), math.log10(vocab.rest[0] + vocab.rest[1] + 1)
 

@@ -376,25 +376,85 @@ def test_language_model_with_words_that_tasks_do_not_hold(spark, monkeypatch):
         assert (r["n_known"], r["base_score"]) == (whole[r["doc_id"]]["n_known"], pytest.approx(whole[r["doc_id"]]["base_score"]))
 
 
-def test_model_probabilities_sum_to_one():
+def small_model(steps=3):
     words = {f"w{k}".encode(): 100 - k for k in range(40)} | {b"": 30}
     top = sorted(words, key=lambda w: (-words[w], w))[:20]
     rest = [w for w in words if w not in top]
     vocab = lm_scoring.Vocabulary(words, {w: k for k, w in enumerate(top)}, sum(words.values()), len(words), (sum(words[w] for w in rest), len(rest)))
-    model = lm_scoring.Model(*vocab.starts())
-    numbering = lm_scoring.Numbering(vocab)
-    squares = np.zeros(lm_scoring.CLASS_ROWS, np.float32), np.zeros(lm_scoring.WORD_ROWS, np.float32)
-    places, at, _ = lm_scoring.numbered(numbering, [[b"w1", b"w2", b"w3"]] * 50)
-    for _ in range(3):
-        model.train(numbering.feature[places], at, squares)
+    model, numbering = lm_scoring.Model(*vocab.starts()), lm_scoring.Numbering(vocab)
+    places, at, _ = lm_scoring.numbered(numbering, [[b"w1", b"w2", b"w3"]] * 50 + [[b"w30", b"far", b"w0"]] * 20)
+    for _ in range(steps):
+        sums = lm_scoring.Sums()
+        sums.add(model, numbering.feature[places], at)
+        row, observed, expected = sums.rows()
+        cells = np.zeros((2, lm_scoring.CLASS_ROWS + lm_scoring.WORD_ROWS, lm_scoring.CLASSES))
+        cells[0][row], cells[1][row] = observed, expected
+        model = model.moved([(cells[0][x], cells[1][x]) for x in (slice(lm_scoring.CLASS_ROWS), slice(lm_scoring.CLASS_ROWS, None))])
+    return vocab, model, numbering
+
+
+def test_model_probabilities_sum_to_one():
+    vocab, model, numbering = small_model()
     total = 0.0
-    for w in [*words, b"never seen"]:
+    for w in [*vocab.words, b"never seen"]:
         places, at, _ = lm_scoring.numbered(numbering, [[b"w1", b"w2", w]])
         p = np.exp(model.log_probabilities(numbering.feature[places], at[2:3])[0])
-        total += p if w in vocab.rank else p * (words.get(w, 0) + 1) / (sum(vocab.rest) + 1)
+        total += p if w in vocab.rank else p * (vocab.words.get(w, 0) + 1) / (sum(vocab.rest) + 1)
     assert total == pytest.approx(1.0, abs=1e-4)
 
 
+def brute_model(model, numbers, at):
+    """(log-likelihood, {(table, row, outcome): (observed, expected)}) word by word."""
+    log, cells = 0.0, collections.defaultdict(lambda: [0, 0.0])
+    for t in at.tolist():
+        one = np.array([t])
+        h, own = model.features(numbers, one)[:, 0], int(numbers[t])
+        k = own // lm_scoring.MEMBERS + 1 if own < lm_scoring.CLASSES * lm_scoring.MEMBERS else 0
+        choices = [(0, model.class_table, model.class_rows(h).tolist(), model.class_bias, k)]
+        if k:
+            choices.append((1, model.word_table, model.word_rows(h[list(lm_scoring.WORD_FEATURES)], np.full(len(lm_scoring.WORD_FEATURES), k)).tolist(), model.word_bias[k], own % lm_scoring.MEMBERS))
+        for table, weights, rows, bias, outcome in choices:
+            logits = [sum(float(weights[r][c]) for r in rows) + float(bias[c]) for c in range(len(bias))]
+            p = [math.exp(x) for x in logits]
+            log += math.log(p[outcome] / sum(p))
+            for r in rows:
+                for c in range(len(p)):
+                    cells[table, r, c][0] += c == outcome
+                    cells[table, r, c][1] += p[c] / sum(p)
+    return log, cells
+
+
+def test_gradient_and_score_against_brute_force():
+    _, model, numbering = small_model(2)
+    places, at, _ = lm_scoring.numbered(numbering, [[b"w1", b"w2", b"w3", b"w9"], [b"w30", b"w0", b"w0", b"unseen"], []])
+    numbers = numbering.feature[places]
+    log, cells = brute_model(model, numbers, at)
+    assert model.log_probabilities(numbers, at).sum() == pytest.approx(log, rel=1e-5)
+    sums = lm_scoring.Sums()
+    for k in range(0, len(at), 2):
+        sums.add(model, numbers, at[k : k + 2])
+    row, observed, expected = sums.rows()
+    got = {(int(r >= lm_scoring.CLASS_ROWS), int(r % lm_scoring.CLASS_ROWS if r < lm_scoring.CLASS_ROWS else r - lm_scoring.CLASS_ROWS), c): (o[c], e[c]) for r, o, e in zip(row, observed, expected, strict=True) for c in range(len(o))}
+    assert set(got) == set(cells)
+    assert all(got[x][0] == cells[x][0] and got[x][1] == pytest.approx(cells[x][1], abs=1e-5) for x in cells)
+    # observed less expected is the slope of the log-likelihood
+    for x in sorted(cells, key=lambda x: -abs(cells[x][0] - cells[x][1]))[:10]:
+        table = (model.class_table, model.word_table)[x[0]]
+        table[x[1], x[2]] += 0.01
+        up = brute_model(model, numbers, at)[0]
+        table[x[1], x[2]] -= 0.02
+        down = brute_model(model, numbers, at)[0]
+        table[x[1], x[2]] += 0.01
+        assert (up - down) / 0.02 == pytest.approx(cells[x][0] - cells[x][1], abs=2e-3)
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    r = random.Random(9)
+    docs = spark.createDataFrame([(k, " ".join(f"{'ab'[k % 2]}{min(r.randrange(60), r.randrange(60))}" for _ in range(30))) for k in range(400)], "doc_id long, text string")
+    one, many = ({x["doc_id"]: x["score"] for x in lm_scoring.score(docs.repartition(n, "doc_id")).collect()} for n in (1, 9))
+    assert one == {k: pytest.approx(x, rel=1e-5) for k, x in many.items()}
+
+
 def test_quality_classifier(spark):
     r = random.Random(5)
     good = [" ".join(r.choice(VOCABULARY) for _ in range(r.randrange(20, 200))).capitalize() + "." for _ in range(300)]
