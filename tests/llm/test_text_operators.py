@@ -9,6 +9,7 @@ import re
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import quality_rules, secret_scans, simhash_dedup, token_counts
 
@@ -72,16 +73,41 @@ def test_quality_rules(spark):
 
 
 def test_rule_order_follows_rejections_per_cost_and_not_the_verdict(spark):
-    sample = quality_rules.features(documents(spark), ["doc_id"])
+    sample = quality_rules.sampled(documents(spark), "text")
+    assert sample.count() == len(TEXTS)
     order = quality_rules.order_rules(sample)
+    assert {r for r, _, _ in order} == {*quality_rules.BASE, *quality_rules.RULES}
     ratio = [share / cost for _, cost, share in order]
     assert ratio == sorted(ratio, reverse=True)
-    a = sample.select("doc_id", quality_rules.cascade(list(quality_rules.RULES)).isNull().alias("ok"))
-    b = sample.select("doc_id", quality_rules.cascade(list(quality_rules.RULES[::-1])).isNull().alias("ok"))
+    seen = quality_rules.Seen(F.col("text"))
+    every = [*quality_rules.BASE, *quality_rules.RULES]
+    a = sample.select("text", quality_rules.cascade(every, seen).isNull().alias("ok"))
+    b = sample.select("text", quality_rules.cascade(every[::-1], seen).isNull().alias("ok"))
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert quality_rules.judge(documents(spark, [])).count() == 0
 
 
+def test_cheap_rules_keep_costly_ones_from_running(spark):
+    """A rule that fails on every row that reaches it is reached by no rejected row."""
+    bomb = quality_rules.Rule("bomb", lambda x: F.raise_error(F.lit("reached")).isNull(), True)
+    short = spark.createDataFrame([(k, "x " * k) for k in range(19)], "doc_id long, text string")
+    few = quality_rules.BASE[0]
+    got = short.select(quality_rules.cascade([few, bomb], quality_rules.Seen(F.col("text"))).alias("r")).collect()
+    assert {r["r"] for r in got} == {few.name}
+
+
+def test_passing_keeps_rows_and_columns(spark):
+    good = "The morning train left the old station late, and nobody on it seemed to mind at all because the sun was out."
+    texts = [*TEXTS, good, good, good.upper(), " ".join(f"w{k}###" for k in range(40))]
+    docs = documents(spark, texts).withColumns({c: F.lit("clash") for c in ("f", "__text", "__made", "kept", "base_failed", "w", "again")})
+    got = quality_rules.passing(docs)
+    assert got.columns == docs.columns
+    verdict = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs).collect()}
+    assert sorted(r["doc_id"] for r in got.collect()) == [k for k in verdict if k is not None and verdict[k]] and sum(verdict.values()) == 2
+    with pytest.raises(ValueError, match="kept"):
+        quality_rules.judge(docs, keep=["doc_id", "kept"])
+
+
 def length(data):
     n = len(data)
     return bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")
