@@ -10,8 +10,9 @@ from quarry.llm.shared import materialize, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
-    return quality_rules.judge(docs, keep=docs.columns).filter("kept").select(*docs.columns)
+    """Documents that no quality rule rejects. Null and empty texts go, repeated rows
+    stay or go together, an empty table gives none, other columns are carried along."""
+    return quality_rules.passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
