@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -27,9 +28,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one
-    of our own where the session has none (tests on one machine)."""
+    of our own where the session has none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines see")
         found = tempfile.mkdtemp(prefix="quarry-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -66,7 +69,7 @@ def ascii_lower(col: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -86,8 +89,9 @@ def per_text(df: DataFrame, keep: list[str], text: str, make: Callable[[], Calla
     task, so that a task can hold state of its own.
     """
     added = T.StructType.fromDDL(fields)
-    source = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = T.StructType([source.schema[k] for k in keep] + added.fields)
+    # kept columns pass under names of their own, so none can clash
+    source = df.select(*(F.col(k).alias(f"__{i}") for i, k in enumerate(keep)), F.col(text).cast("string").alias("__text"))
+    schema = T.StructType([T.StructField(k, source.schema[i].dataType) for i, k in enumerate(keep)] + added.fields)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -289,15 +289,21 @@ def meetings(rows: DataFrame, n: int, bands: int, distance: int) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component_id) of nodes (node, first): the smallest first reachable."""
+    """(node, root, component_id) of nodes (node, first): the smallest node reachable,
+    by which components are told apart, and the smallest first reachable."""
     edges = materialize(edges, "links")
     if edges.isEmpty():
-        return materialize(nodes.select("node", F.col("first").alias("component_id")), "components")
+        return materialize(nodes.select("node", F.col("node").alias("root"), F.col("first").alias("component_id")), "components")
     member = materialize(connected(edges), "members").withColumnRenamed("node", "own")
     release(edges)
-    of = nodes.join(member, F.col("node") == F.col("own"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return materialize(of.join(least, "root").select("node", "component_id"), "components")
+    of = materialize(nodes.join(member, F.col("node") == F.col("own"), "left").select("node", "first", "root"), "rooted")
+    # only nodes with a link need to look at others
+    linked = of.filter("root IS NOT NULL")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    alone = of.filter("root IS NULL").select("node", F.col("node").alias("root"), F.col("first").alias("component_id"))
+    out = materialize(linked.join(least, "root").select("node", "root", "component_id").unionByName(alone), "components")
+    release(of, member)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, distance: int = 4, keep: list[str] = (), text: str = "text") -> DataFrame:
@@ -342,8 +348,9 @@ def bound_for(bits: int, p: float, recall: float) -> tuple[int, float]:
 
 
 def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, lanes: int = 8, recall: float = 0.99, text: str = "text") -> DataFrame:
-    """doc_id and component_id of every row of docs that has words: groups of texts
-    whose shingle sets have a Jaccard similarity of about similarity or more.
+    """doc_id, hash, root and component_id of every row of docs that has words: groups
+    of texts whose shingle sets have a Jaccard similarity of about similarity or more.
+    hash is the XXH64 of the text, root tells groups apart.
 
     A text is its set of shingles: each votes once for the SimHash bits, however often
     it occurs, and only texts with one set are one node of the graph.
@@ -371,8 +378,9 @@ def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float =
 
         return run
 
-    prints = per_text(docs, ["doc_id"], text, make, "bits binary, fp long, empty boolean").filter("NOT empty")
-    prints = materialize(prints.select("doc_id", "bits", "fp"), "fingerprints")
+    source = docs.select("doc_id", F.xxhash64(F.col(text).cast("string")).alias("hash"), text)
+    prints = per_text(source, ["doc_id", "hash"], text, make, "bits binary, fp long, empty boolean").filter("NOT empty")
+    prints = materialize(prints.select("doc_id", "hash", "bits", "fp"), "fingerprints")
     nodes = materialize(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("first"), F.first("bits").alias("bits")), "nodes")
     n = nodes.count()
     width, bands = bands_for(n, 1 - angle, banded)
@@ -392,7 +400,7 @@ def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float =
     rows = nodes.select("node", "bits").mapInArrow(run, "band int, key long, node long, bits binary")
     met = materialize(meetings(rows, n, bands, bound), "meetings")
     own = components(nodes, confirmed(docs, nodes, met, shingle, similarity, text))
-    return prints.join(own, F.col("fp") == F.col("node")).select("doc_id", "component_id")
+    return prints.join(own, F.col("fp") == F.col("node")).select("doc_id", "hash", "root", "component_id")
 
 
 def node_of(shingles: np.ndarray) -> int:

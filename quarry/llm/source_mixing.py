@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.shared import WORD, bucket, let, materialize, word_count
+from quarry.llm.shared import SPACE, WORD, bucket, let, materialize, word_count
 
 #: Words in a block, slots in a shard, rounds of the permutation, most passes.
 BLOCK, SLOTS, ROUNDS, PASSES = 256, 1024, 20, 3
+#: A word and the white space after it.
+SPACED_WORD = WORD + r"[\x20\x09-\x0D]*"
 
 
 def source_plan(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int = PASSES) -> DataFrame:
@@ -195,7 +197,10 @@ def shares(docs: DataFrame, *, source: str = "source", text: str = "text", weigh
 
 def mixed_text(docs: DataFrame, *, source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """The mixed corpus: shard, rank, j (slot of the source), at, doc_id, source,
-    and text, the words of that document in that place joined by spaces.
+    and text: of that document from its first to its last word in that place, with
+    what stands between them (line breaks, indents) as it is in the document.
+
+    Nulls, repeated rows and empty tables are as in mix(); other columns are left out.
 
     Each document meets its offset once and is cut there into the pieces that fall
     into blocks; pieces then meet the slots by block number."""
@@ -219,13 +224,14 @@ def mixed_text(docs: DataFrame, *, source: str = "source", text: str = "text", w
             begin = F.greatest(F.col("offset"), b * BLOCK)
             end = F.least(F.col("offset") + F.col("size"), (b + 1) * BLOCK)
             part = F.slice(w, (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int"))
-            return F.struct(b.alias("block"), (begin - b * BLOCK).alias("at"), (end - begin).alias("length"), F.array_join(part, " ").alias("part"))
+            return F.struct(b.alias("block"), (begin - b * BLOCK).alias("at"), (end - begin).alias("length"), F.array_join(part, "").alias("part"))
 
         return F.transform(F.sequence(first, last), piece)
 
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.col("text"), F.lit(SPACED_WORD), F.lit(0))
     pieces = whole.select("doc_id", "source", "rank", F.explode(let(words, cut)).alias("x")).select("doc_id", "source", "rank", "x.*")
     met = slots.join(pieces, ["rank", "block"]).filter("words > at")
     room = (F.col("words") - F.col("at")).cast("int")
-    taken = F.when(room < F.col("length"), F.array_join(F.slice(F.split("part", " "), F.lit(1), room), " ")).otherwise(F.col("part"))
+    some = F.array_join(F.slice(F.regexp_extract_all(F.col("part"), F.lit(SPACED_WORD), F.lit(0)), F.lit(1), room), "")
+    taken = F.rtrim(F.when(room < F.col("length"), some).otherwise(F.col("part")), F.lit(SPACE))
     return met.select("shard", "rank", "j", F.col("at").cast("long"), "doc_id", "source", taken.alias("text"))

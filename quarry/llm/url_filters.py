@@ -10,16 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected
 from quarry.llm.shared import ascii_lower, materialize
 
-#: Rules are held in the plan; a longer list is refused.
-MOST_RULES = 10_000
-
-
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -51,27 +48,31 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def best_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
-    """The longest rule that fits (struct rule, verdict), or null.
-
-    Rules are looked up by each parent domain of the host, so the work for a row
-    follows the depth of its host and not the number of rules."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules; {len(rules)} given")
-    by_host: dict[str, list[Rule]] = {}
-    for r in rules:
-        by_host.setdefault(r.host, []).append(r)
-    kind = "array<struct<size:int,rule:string,path:string,verdict:string>>"
-    if not by_host:
-        return F.lit(None).cast("struct<rule:string,verdict:string>")
-    one = lambda r: F.struct(F.lit(len(r.text)).alias("size"), F.lit(r.text).alias("rule"), F.lit(r.path).alias("path"), F.lit(r.verdict).alias("verdict"))
-    table = F.create_map(*(x for h, own in by_host.items() for x in (F.lit(h), F.array(*map(one, own)))))
-    labels = F.split(host, r"\.", -1)
+def rules_table(spark: SparkSession, rules: tuple[Rule, ...] | DataFrame) -> DataFrame:
+    """(verdict, host, path) of rules given as such, or as a table of any size."""
+    if isinstance(rules, DataFrame):
+        return rules.select("verdict", "host", "path").filter("verdict IS NOT NULL AND host IS NOT NULL AND path IS NOT NULL").distinct()
+    of = {k: pa.array([getattr(r, k) for r in rules], pa.string()) for k in ("verdict", "host", "path")}
+    return spark.createDataFrame(pa.table(of)).distinct()
+
+
+def best_rules(sites: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, path, rule and verdict of every distinct (host, path) of sites that a rule
+    fits: the longest rule, of equally long ones the last by code point.
+
+    Each parent domain of a host meets the lengths that the paths of its rules have,
+    and then, by a prefix of the path of each such length, the rules themselves. All
+    joins are of equal keys, so the work for a site follows the depth of its host and
+    those lengths, not the number of rules; Spark broadcasts rules that are small."""
+    sites = sites.select("host", "path").filter("host <> ''").distinct()
+    labels = F.split("host", r"\.", -1)
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    rules_of = F.flatten(F.transform(parents, lambda h: F.coalesce(F.try_element_at(table, h), F.array().cast(kind))))
-    fit = F.filter(rules_of, lambda r: F.startswith(path, r["path"]))
-    top = F.array_max(fit)
-    return F.when(top.isNotNull(), F.struct(top["rule"].alias("rule"), top["verdict"].alias("verdict")))
+    lengths = rules.select(F.col("host").alias("parent"), F.length("path").alias("n")).distinct()
+    met = sites.select("host", "path", F.explode(F.array_distinct(parents)).alias("parent")).join(lengths, "parent")
+    met = met.filter(F.length("path") >= F.col("n")).withColumn("start", F.expr("substring(path, 1, n)"))
+    by = rules.select(F.col("host").alias("parent"), F.col("path").alias("start"), "verdict", F.concat("host", "path").alias("rule"))
+    best = F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("best")
+    return met.join(by, ["parent", "start"]).groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.verdict")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -113,32 +114,35 @@ def alias_key(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(ascii_lower(scheme), url_host(url), rest)).otherwise(F.regexp_extract(url, r"(?s)^([^#]*)", 1))
 
 
-def judge(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, links: DataFrame | None = None, keep: list[str] = ("page_id",)) -> DataFrame:
+def judge(pages: DataFrame, *, rules: tuple[Rule, ...] | DataFrame = RULES, links: DataFrame | None = None, keep: list[str] = ("page_id",)) -> DataFrame:
     """keep columns, host, path, rule, verdict and aliased (a block came from an
     alias) of every row of pages (url, html).
 
-    links: (a, b) redirects and canonical links besides those in the pages. A
-    page with a rule has the rule's verdict. Another one is blocked if a rule
-    blocks the url of any alias, in pages or only linked to, and allowed if not.
+    rules: Rule objects, or a table (verdict, host, path) of any size; rows with a
+    null are no rule. links: (a, b) redirects and canonical links besides those in
+    the pages. A page with a rule has the rule's verdict. Another one is blocked if a
+    rule blocks the url of any alias, in pages or only linked to, and allowed if not.
     A null url, or one without ://, has an empty host and path, no rule and no
     aliases, and is allowed. Repeated rows each give a row; an empty table gives
     none; other columns are left out.
     """
+    table = rules_table(pages.sparkSession, rules)
     edges = page_links(pages)
     if links is not None:
         edges = edges.unionByName(links.select("a", "b"))
     ends = materialize(edges.select(F.xxhash64(alias_key(F.col("a"))).alias("a"), F.xxhash64(alias_key(F.col("b"))).alias("b"), F.col("a").alias("a_url"), F.col("b").alias("b_url")).distinct(), "links")
-    rows = pages.select(*keep, "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    rows = rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
+    rows = pages.select(*(F.col(c).alias(f"__{k}") for k, c in enumerate(keep)), "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    rows = rows.join(best_rules(rows, table), ["host", "path"], "left")
     if ends.isEmpty():
         rows = rows.withColumn("aliased", F.lit(False))
     else:
         member = materialize(connected(ends.select("a", "b")), "aliases")
         urls = ends.select(F.col("a").alias("node"), F.col("a_url").alias("url")).unionByName(ends.select(F.col("b").alias("node"), F.col("b_url").alias("url"))).distinct()
-        verdict = best_rule(url_host(F.col("url")), url_path(F.col("url")), rules)["verdict"]
+        urls = urls.select("node", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
         # pages whose url is a node are ends of links already: their rule is the url's
-        blocked = urls.filter(verdict == "block").select("node").distinct().join(member, "node").select("root").distinct()
-        bad = member.join(blocked, "root").select(F.col("node").alias("__node"), F.lit(True).alias("__blocked"))
+        blocked = urls.join(best_rules(urls, table).filter("verdict = 'block'"), ["host", "path"], "left_semi").select("node").distinct()
+        bad = member.join(blocked.join(member, "node").select("root").distinct(), "root").select(F.col("node").alias("__node"), F.lit(True).alias("__blocked"))
         rows = rows.withColumn("__key", F.when(F.instr("url", "://") > 0, F.xxhash64(alias_key(F.col("url")))))
-        rows = rows.join(bad, F.col("__key") == F.col("__node"), "left").withColumn("aliased", F.col("best").isNull() & F.coalesce("__blocked", F.lit(False)))
-    return rows.select(*keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.when(F.col("aliased"), "block").otherwise("allow")).alias("verdict"), "aliased")
+        rows = rows.join(bad, F.col("__key") == F.col("__node"), "left").withColumn("aliased", F.col("verdict").isNull() & F.coalesce("__blocked", F.lit(False)))
+    kept = [F.col(f"__{k}").alias(c) for k, c in enumerate(keep)]
+    return rows.select(*kept, "host", "path", "rule", F.coalesce("verdict", F.when(F.col("aliased"), "block").otherwise("allow")).alias("verdict"), "aliased")

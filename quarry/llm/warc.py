@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +26,7 @@ END = "\r\n\r\n"
 #: Between records: the end of one and the first letters of the next one.
 BETWEEN = END + "WARC/1."
 #: Bytes of a block in one record, and of data in one chunk.
-SEGMENT_BYTES, CHUNK_BYTES = 65_536, 16_384
+SEGMENT_BYTES, CHUNK_BYTES = 4_096, 1_024
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 FIELDS = "record_id string, type string, page_id string, url string, refers_to string, digest string, origin_id string, segment int, total_length long, complete boolean, block binary"
 
@@ -146,49 +148,89 @@ def write(pages: DataFrame, path: str, *, payload: str = "html", min_bytes: int
     text.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
-def parse(raw: bytes) -> dict | None:
-    """Fields of FIELDS of one record; None for an empty part."""
-    raw = raw.removeprefix(b"WARC/1.")
-    head, sep, rest = raw.partition(END.encode())
+def number(field: bytes | None) -> int | None:
+    """A field's number; None if there is none, or no number of zero or more."""
+    return int(field) if field is not None and field.isdigit() and len(field) < 19 else None
+
+
+def head_of(raw: bytes) -> tuple[dict[bytes, bytes], bytes] | None:
+    """(fields, what follows them) of a record's bytes; None for an empty part."""
+    head, sep, rest = raw.removeprefix(b"WARC/1.").partition(END.encode())
     if not sep and not head.strip():
         return None
-    fields = {}
-    for line in head.split(b"\r\n")[1:]:
-        k, _, v = line.partition(b":")
-        fields[k.strip().lower()] = v.strip().decode("utf-8", "replace")
-    length = int(fields.get(b"content-length", -1))
-    own = fields.get(b"warc-payload-digest", "").rpartition(":")[2] or None
-    total = fields.get(b"warc-segment-total-length")
-    return {
-        "record_id": fields.get(b"warc-record-id"), "type": fields.get(b"warc-type"), "page_id": fields.get(b"x-page-id"), "url": fields.get(b"warc-target-uri"),
-        "refers_to": fields.get(b"x-refers-to-page-id"), "digest": own, "origin_id": fields.get(b"warc-segment-origin-id"),
-        "segment": int(fields[b"warc-segment-number"]) if b"warc-segment-number" in fields else None, "total_length": int(total) if total else None,
-        "complete": 0 <= length <= len(rest), "block": rest[: max(length, 0)],
-    }
+    pairs = (line.partition(b":") for line in head.split(b"\r\n")[1:])
+    return {k.strip().lower(): v.strip() for k, _, v in pairs}, rest
+
+
+def parsed(lines: Iterator[tuple[object, bytes]]) -> Iterator[dict]:
+    """Records (fields of FIELDS) of (file, bytes) in order, cut where a record may end.
+
+    A block that holds such a place goes on in the bytes after it: they are taken as
+    part of it if its Content-Length ends exactly where some of them end. Otherwise
+    the record is not complete, and the next bytes are read as records of their own."""
+    held: deque = deque()
+
+    def ahead(k: int) -> tuple[object, bytes] | None:
+        while len(held) <= k and (line := next(lines, None)) is not None:
+            held.append(line)
+        return held[k] if k < len(held) else None
+
+    while (line := ahead(0)) is not None:
+        held.popleft()
+        found = head_of(line[1])
+        if found is None:
+            continue
+        fields, rest = found
+        length, parts, n, k = number(fields.get(b"content-length")), [rest], len(rest), 0
+        while length is not None and n < length and (more := ahead(k)) is not None and more[0] == line[0]:
+            parts += [BETWEEN.encode(), more[1].removeprefix(b"WARC/1.")]
+            n, k = n + len(parts[-1]) + len(BETWEEN), k + 1
+        # the last bytes of a file still have the record's end
+        last = n - len(END) if parts[-1].endswith(END.encode()) else n
+        if k and length in (n, last):
+            rest = b"".join(parts)
+            for _ in range(k):
+                held.popleft()
+        text = lambda x, own=fields: own[x].decode("utf-8", "replace") if x in own else None
+        yield {
+            "record_id": text(b"warc-record-id"), "type": text(b"warc-type"), "page_id": text(b"x-page-id"), "url": text(b"warc-target-uri"),
+            "refers_to": text(b"x-refers-to-page-id"), "digest": (text(b"warc-payload-digest") or "").rpartition(":")[2] or None,
+            "origin_id": text(b"warc-segment-origin-id"), "segment": segment_number(fields), "total_length": number(fields.get(b"warc-segment-total-length")),
+            "complete": length is not None and length <= len(rest), "block": rest[: length or 0],
+        }
+
+
+def segment_number(fields: dict[bytes, bytes]) -> int | None:
+    """A record's segment number; 0, which no whole record has, where it is no number."""
+    if b"warc-segment-number" not in fields:
+        return None
+    n = number(fields[b"warc-segment-number"])
+    return n if n is not None and n < 1 << 31 else 0
 
 
 def records(spark: SparkSession, path: str, digested: bool = False) -> DataFrame:
     """FIELDS of every record under path, in archives of any 1.x version, plain or
-    gzip. A record shorter than its stated length is marked as not complete.
+    gzip. A record shorter than its stated length, or without a length that is a
+    number, is marked as not complete; a segment whose number is none has number 0.
+    Blocks may hold what looks like the start of a record; only where Spark splits a
+    plain archive right there, the record is not complete.
 
     digested: also payload_bytes and payload_digest of responses that are one
     record, whose block is then left out."""
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                found = [r for x in b.column(0).slice(at, 64).to_pylist() if (r := parse(x))]
-                for r in found if digested else ():
-                    if r["type"] == "response" and r["segment"] is None:
-                        payload = payload_of(r["block"]) if r["complete"] else None
-                        whole = payload is not None
-                        r |= {"block": None, "complete": whole, "payload_bytes": len(payload) if whole else None, "payload_digest": digest(payload) if whole else None}
-                if found:
-                    yield pa.RecordBatch.from_pylist(found, schema=schema)
+        lines = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for some in itertools.batched(parsed(lines), 64):
+            for r in some if digested else ():
+                if r["type"] == "response" and r["segment"] is None:
+                    payload = payload_of(r["block"]) if r["complete"] else None
+                    whole = payload is not None
+                    r |= {"block": None, "complete": whole, "payload_bytes": len(payload) if whole else None, "payload_digest": digest(payload) if whole else None}
+            yield pa.RecordBatch.from_pylist(list(some), schema=schema)
 
     schema = pa.schema([*SCHEMA, *DIGESTS]) if digested else SCHEMA
     fields = FIELDS + (", payload_bytes long, payload_digest string" if digested else "")
-    return spark.read.option("lineSep", BETWEEN).text(path).select(F.col("value").cast("binary")).mapInArrow(run, fields)
+    return spark.read.option("lineSep", BETWEEN).text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary")).mapInArrow(run, fields)
 
 
 SCHEMA = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("page_id", pa.string()), ("url", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("origin_id", pa.string()), ("segment", pa.int32()), ("total_length", pa.int64()), ("complete", pa.bool_()), ("block", pa.binary())])

@@ -318,6 +318,30 @@ def test_broken_segments_are_reported(spark):
     assert warc.unchunked(b"5\r\nhello\r\n0\r\n\r\n") == b"hello" and warc.unchunked(b"5\r\nhel") is None and warc.unchunked(b"zz\r\n") is None
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    """Blocks that hold the start of a record, malformed numbers, a record cut short."""
+    import gzip
+
+    def rec(kind, block, *more, length=None):
+        head = [b"WARC/1.0", b"WARC-Type: " + kind, *more, b"Content-Length: " + (b"%d" % len(block) if length is None else length)]
+        return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    inner = http + b"a\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\nWARC/1.1 end"
+    parts = [
+        rec(b"warcinfo", b"about"), rec(b"response", inner, b"X-Page-ID: 1"), rec(b"response", http + b"two", b"X-Page-ID: 2"),
+        rec(b"response", http + b"bad", b"X-Page-ID: 3", length=b"many"), rec(b"response", http + b"short", b"X-Page-ID: 4", length=b"5000"),
+        rec(b"continuation", b"x", b"WARC-Segment-Number: one", b"WARC-Segment-Origin-ID: <none>"), rec(b"response", http + b"five", b"X-Page-ID: 5"),
+        rec(b"response", inner, b"X-Page-ID: 6"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(parts)))
+    (tmp_path / "b.warc").write_bytes(b"".join(parts[1:3]) + rec(b"response", http + b"cut", b"X-Page-ID: 7")[:-12])
+    got = {(r["page_id"], bytes(r["payload"]) if r["payload"] is not None else None, r["complete"]) for r in warc.reassemble(warc.records(spark, str(tmp_path))).collect()}
+    body = inner[len(http) :]
+    assert got == {("1", body, True), ("2", b"two", True), ("3", None, False), ("4", None, False), (None, None, False), ("5", b"five", True), ("6", body, True), ("7", None, False)}
+    assert {r["page_id"]: r["complete"] for r in warc.read_pages(spark, str(tmp_path)).collect()} == {1: True, 2: True, 3: False, 4: False, 5: True, 6: True, 7: False, None: False}
+
+
 def test_url_filters(spark):
     link = lambda to: f'<html><link href="{to}" rel="canonical"></html>'
     moved = lambda to: f"<meta http-equiv=refresh content='0; url={to}'>"
@@ -342,6 +366,24 @@ def test_url_filters(spark):
     assert url_filters.judge(df.limit(0)).count() == 0
 
 
+def test_url_rules_against_each_rule_by_itself(spark):
+    """Many rules, as a table: as many as 20,000 are no matter of the plan."""
+    r = random.Random(51)
+    hosts = ["com", "a.com", "b.a.com", "net", "x.net", "a", ""]
+    paths = ["/", "/a", "/a/b", "/a/b/c", "", "/b", "/é"]
+    rules = [(r.choice(["allow", "block"]), h, p) for h in hosts for p in paths if h and r.random() < 0.4]
+    many = rules + [("block", f"h{k}.org", f"/p{k % 50}") for k in range(20_000)] + [("block", None, "/"), ("allow", "com", None)]
+    sites = [(h, p) for h in [*hosts, "c.b.a.com", "notcom", "a.b.a.com", "h7.org", "x.h8.org"] for p in [*paths, "/a/b/c/d", "/p7", "/p8"]]
+    pages = spark.createDataFrame([(k, f"http://{h}{p}") for k, (h, p) in enumerate(sites)], "page_id long, url string").withColumn("html", F.lit(None).cast("string"))
+    table = spark.createDataFrame(many, "verdict string, host string, path string")
+    got = {x["page_id"]: (x["rule"], x["verdict"]) for x in url_filters.judge(pages, rules=table).collect()}
+    for k, (h, p) in enumerate(sites):
+        fit = [(len(y + z), y + z, v) for v, y, z in many if y and z is not None and (h == y or h.endswith("." + y)) and p.startswith(z)]
+        want = max(fit)[1:] if h and fit else (None, "allow")
+        assert got[k] == want, (h, p)
+    assert {x["verdict"] for x in url_filters.judge(pages, rules=()).collect()} == {"allow"}
+
+
 def test_language_model(spark):
     r = random.Random(3)
     tongues = [[f"{c}{k}" for k in range(200)] for c in "abc"]

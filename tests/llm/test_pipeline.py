@@ -6,6 +6,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm.simhash_dedup import shingle_hashes
@@ -82,3 +83,38 @@ def test_run_and_empty_tables(spark, corpus, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_ids_extra_columns_and_null_ids(spark, tmp_path):
+    """Rows are told apart by id and text; columns with any name are carried along."""
+    r = random.Random(61)
+    prose = lambda n: " ".join(r.choice(VOCABULARY) for _ in range(n))
+    a, b, c, d, item = prose(120), prose(120), prose(120), prose(120), prose(40)
+    near = " ".join([*a.split()[:60], "changed", *a.split()[61:]])
+    rows = [(1, a), (2, near), (2, b), (3, b), (3, b), (4, c), (4, c), (None, d), (None, d), (None, c), (None, prose(90)), (5, prose(50) + " " + item), (6, prose(50)), (6, item + " " + prose(50))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], SCHEMA)
+    extra = ["f", "n_words", "kept", "base_failed", "hash", "root", "fp", "first", "rows", "node", "item_id", "score", "start", "found", "__text", "shard", "rank", "size"]
+    docs = docs.withColumns({x: F.lit(f"clash {x}") for x in extra})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages, out = dict(corpus_pipeline.STAGES), docs
+    for name in ("quality rules", "near dedup", "decontamination", "secret scans"):
+        out = spark.createDataFrame(stages[name](spark, out, str(tmp_path)).toArrow())
+        assert out.columns == docs.columns
+        assert all(x[c] == f"clash {c}" for x in out.collect() for c in extra)
+        if name == "quality rules":
+            assert out.count() == len(rows)
+        if name == "near dedup":
+            got = sorted(((x["doc_id"], x["text"]) for x in out.collect()), key=str)
+            assert got == sorted([(1, a), (2, b), (4, c), (None, d), *rows[10:]], key=str)
+        if name == "decontamination":
+            assert sorted(str(x["doc_id"]) for x in out.collect()) == ["1", "2", "4", "6", "None", "None"]
+    assert stages["source mixing"](spark, out, str(tmp_path)).count() > 0
+
+
+def test_mixing_keeps_line_breaks(spark):
+    text = "def f(x):\n    return x\n\n\n| a |\tb |\n"
+    docs = spark.createDataFrame([(1, text, "en", "s", 1), (2, "  " + "\n\n".join(["para graph"] * 400), "en", "s", 1)], SCHEMA)
+    mixed = corpus_pipeline.mix(spark, docs, "").collect()
+    assert text.strip() in {r["text"] for r in mixed}
+    assert all(x in ("para graph", "para", "graph") for r in mixed if r["doc_id"] == 2 for x in r["text"].split("\n\n"))
