@@ -17,26 +17,41 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8), the
-    document with the smallest doc_id. Rows that repeat a doc_id are one document,
-    of which one row stays; rows without a doc_id or without words stay."""
+    document with the smallest doc_id, and of those with one doc_id, or with none
+    where no other has one, that whose text has the smallest hash. Rows that repeat
+    both doc_id and text are one document; rows that share only the doc_id are two.
+    Rows without words stay; an empty table gives none; other columns are carried."""
     group = materialize(simhash_dedup.similar_documents(docs), "groups")
-    repeats = materialize(group.filter("doc_id <> component_id").select("doc_id").distinct(), "repeats")
-    again = materialize(group.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
-    kept = docs.join(repeats, "doc_id", "left_anti")
-    if not again.isEmpty():
-        one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(one)
-    return kept.select(*docs.columns)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    first = group.groupBy("root").agg(F.min(own).alias("first")).select(F.col("root").alias("__root"), "first")
+    own = group.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("rows"))
+    own = materialize(own.join(first, F.col("root") == F.col("__root")), "members")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
+    named = [F.col("doc_id").alias("__doc_id"), F.col("hash").alias("__hash")]
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__hash"))
+    again = materialize(own.filter(stays & (F.col("rows") > 1)).select(*named), "again")
+    gone = own.filter(~stays).select(*named)
+    if again.isEmpty():
+        return docs.join(gone, same, "left_anti").select(*docs.columns)
+    kept = docs.join(gone.unionByName(again), same, "left_anti")
+    return kept.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no copy of a benchmark item."""
-    found = decontamination.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no copy of a benchmark item. A text is judged by itself,
+    whatever its doc_id: repeated rows stay or go together, and so do null ids. Null
+    and empty texts stay; an empty table on either side removes nothing; other columns
+    are carried along."""
+    texts = docs.select(F.xxhash64("text").alias("hash"), "text")
+    found = decontamination.contaminated(texts, read(spark, sf_dir, "benchmark"), doc="hash")
+    gone = materialize(found.select(F.col("doc_id").alias("__hash")).distinct(), "contaminated")
+    return docs.join(gone, F.xxhash64("text") == F.col("__hash"), "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every secret's span replaced; n_chars follows the text."""
+    """Documents with every secret's span replaced; n_chars follows the text. Every
+    row stays, repeated ones too; a null text becomes empty; an empty table gives
+    none; other columns are carried along."""
     redacted = secret_scans.redact(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")])
     if "n_chars" in docs.columns:
         redacted = redacted.withColumn("n_chars", F.length("text").cast("long"))
@@ -44,7 +59,10 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: what each slot of each output shard takes of which document."""
+    """The mixed corpus: what each slot of each output shard takes of which document.
+    A null source is a source of its own; texts without words take no part; repeated
+    rows are packed one after the other; an empty table gives none; columns other
+    than doc_id, source and text are left out."""
     return source_mixing.mixed_text(docs)
 
 
@@ -62,7 +80,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each one's rows written before the next reads them."""
+    """The stages in order, each one's rows written before the next reads them. Nulls,
+    repeated rows, empty tables and other columns are as each stage says."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
