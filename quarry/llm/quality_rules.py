@@ -133,8 +133,8 @@ BASE = (
 #: words of ordinary length, and rarely the same line twice.
 RULES = (
     Rule("symbols", lambda x: 10 * x.n_symbols > 3 * x.n_words, True),
-    Rule("duplicate lines", lambda x: (x.n_dup_lines >= 3) & (2 * x.n_dup_lines > F.size(F.split(x.text, "\n", -1)))),
-    Rule("word length", lambda x: (x.word_chars > 25 * x.n_words) | (x.word_chars < 2 * x.n_words), True),
+    Rule("duplicate lines", lambda x: let(x.n_dup_lines, lambda n: (n >= 3) & (2 * n > F.size(F.split(x.text, "\n", -1))))),
+    Rule("word length", lambda x: let(x.word_chars, lambda n: (n > 25 * x.n_words) | (n < 2 * x.n_words)), True),
     Rule("capitals", lambda x: 2 * share_of(UPPER, x.text) > x.word_chars),
     Rule("exclamations", lambda x: 10 * share_of("!", x.text) > 3 * x.n_words, True),
 )

@@ -299,10 +299,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     of = materialize(nodes.join(member, F.col("node") == F.col("own"), "left").select("node", "first", "root"), "rooted")
     # only nodes with a link need to look at others
     linked = of.filter("root IS NOT NULL")
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, so that the join with it may split a large component's rows
+    least = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     alone = of.filter("root IS NULL").select("node", F.col("node").alias("root"), F.col("first").alias("component_id"))
     out = materialize(linked.join(least, "root").select("node", "root", "component_id").unionByName(alone), "components")
-    release(of, member)
+    release(of, member, least)
     return out
 
 
