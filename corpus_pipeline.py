@@ -23,7 +23,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without words stay; an empty table gives none; other columns are carried."""
     group = materialize(simhash_dedup.similar_documents(docs), "groups")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    first = group.groupBy("root").agg(F.min(own).alias("first")).select(F.col("root").alias("__root"), "first")
+    # written, so that the join with it may split a large group's rows
+    first = materialize(group.groupBy("root").agg(F.min(own).alias("first")).select(F.col("root").alias("__root"), "first"), "first")
     own = group.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("rows"))
     own = materialize(own.join(first, F.col("root") == F.col("__root")), "members")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
