@@ -40,7 +40,7 @@ CLASSES, MEMBERS, CLASS_ROWS, WORD_ROWS, STEP, SUMMED = 32, 32, 1 << 14, 1 << 15
 #: Words before a token that features look at; rounds; the step of a round, and the
 #: count by which the steps of rare features are damped. A weight moves by at most
 #: 2 * RATE in a round, so no exponential of the model's overflows.
-BEFORE, ROUNDS, RATE, DAMP = 3, 4, 0.5, 2.0
+BEFORE, ROUNDS, RATE, DAMP = 3, 3, 0.5, 2.0
 #: Training tokens for which a task of a round sums up tables.
 TASK_TOKENS = 5_000_000
 #: Words of which every task holds the counts, at most, and their longest, in bytes;
@@ -310,7 +310,8 @@ def score(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", folds: in
     counts = materialize(token_counts(learn.select(F.col(text).cast("string"))), "token-counts")
     vocab = vocabulary(counts)
     model = Model(*vocab.starts())
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, vocab.tokens // ROUNDS // TASK_TOKENS)
+    # as each task sends tables of the model's size, their number follows the tokens
+    tasks = -(-vocab.tokens // (ROUNDS * TASK_TOKENS))
     for k in range(ROUNDS if vocab.tokens else 0):
         model = train(learn.filter(turn == k).select(F.col(text).cast("string")).coalesce(tasks), vocab, model)
     spread = docs.sparkSession.sparkContext.broadcast((vocab, model))
