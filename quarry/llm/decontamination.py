@@ -35,8 +35,8 @@ BLOCK_WORDS = 1_000_000
 PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 #: Alignment scores, and the share of an item's full score that counts as a copy.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
-#: Words of which hashes are remembered by a task.
-REMEMBER = 500_000
+#: Words of which hashes are remembered by a task; words of windows looked at at a time.
+REMEMBER, WINDOW_WORDS = 500_000, 1_000_000
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -46,17 +46,23 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+class Known(dict):
+    """Hashes of words, made when they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
 class Hasher:
     """64-bit hashes of words and of word n-grams."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Known()
 
     def words(self, words: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBER:
             self.known.clear()
-        for w in set(words).difference(self.known):
-            self.known[w] = xxhash.xxh64_intdigest(w)
         return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
 
     @staticmethod
@@ -117,8 +123,31 @@ class Block:
         grams, item = np.concatenate([*own, np.empty(0, np.uint64)]), np.repeat(np.arange(len(own)), [len(g) for g in own])
         order = np.argsort(grams, kind="stable")
         self.grams, self.item = grams[order], item[order]
-        self.bits = np.zeros(TABLE_BITS, dtype=bool)
+        self.bits, self.holds = np.zeros(TABLE_BITS, dtype=bool), np.zeros(TABLE_BITS, dtype=bool)
         self.bits[self.grams & MASK] = True
+        if len(texts):
+            self.holds[self.cell(np.concatenate(self.words), np.repeat(np.arange(len(texts)), self.count))] = True
+
+    @staticmethod
+    def cell(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Where holds says whether items have words; it may say so of others too."""
+        h = (words ^ (item.astype(np.uint64) << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        return (h >> np.uint64(40)) & MASK
+
+    def promising(self, words: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which windows words[low:high] may hold an alignment to item that scores least,
+        by the bound of stretches(), for all windows at once."""
+        out = []
+        for some in np.array_split(np.arange(len(low)), 1 + int((high - low).sum()) // WINDOW_WORDS):
+            n = high[some] - low[some] + 1  # a place more, at which the sum falls below all before
+            window = np.repeat(np.arange(len(some)), n)
+            at = np.arange(len(window)) - np.repeat(np.cumsum(n) - n - low[some], n)
+            end = at == high[some][window]
+            held = self.holds[self.cell(words[np.where(end, 0, at)], item[some][window])]
+            total = np.cumsum(np.where(end, -MATCH * n.max(initial=0), np.where(held, MATCH, max(MISMATCH, GAP))))
+            rise = total - np.minimum(np.minimum.accumulate(total), 0)
+            out.append(some[np.unique(window[(rise >= least[some][window]) & ~end])])
+        return np.concatenate(out)
 
     def seeds(self, words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, item) of every n-gram of words that an item holds too, none of which
@@ -169,23 +198,20 @@ def copies(block: Block, words: np.ndarray, text: np.ndarray, begin: np.ndarray,
     owner = text[place]
     low, high = np.maximum(place - reach, begin[owner]), np.minimum(place + reach, begin[owner + 1])
     apart = np.flatnonzero((owner[1:] != owner[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])) + 1
-    best: tuple | None = None
-    for a, b in zip([0, *apart.tolist()], [*apart.tolist(), len(place)], strict=True):
-        at, t, i = int(low[a]), int(owner[a]), int(item[a])
-        have, want = words[at : int(high[b - 1])], block.words[i]
-        least = threshold * MATCH * len(want)
+    first, last = np.concatenate([[0], apart]), np.concatenate([apart, [len(place)]]) - 1
+    owner, item, low, high = owner[first], item[first], low[first], high[last]
+    best: dict[tuple[int, int], tuple] = {}
+    for k in block.promising(words, item, low, high, threshold * MATCH * block.count[item]).tolist():
+        at, key, want = int(low[k]), (int(owner[k]), int(item[k])), block.words[item[k]]
+        have, least = words[at : int(high[k])], threshold * MATCH * len(want)
         for x, y in stretches(have, want, least):
-            score, first, end = span(have[x:y], want)
+            score, start, end = span(have[x:y], want)
             if score >= least:
-                found = (t, i, score / (MATCH * len(want)), at + x + first - int(begin[t]), end - first)
-                if best and best[:2] == (t, i):
-                    best = max(best, found, key=lambda f: (f[2], -f[3]))
-                else:
-                    if best:
-                        yield best
-                    best = found
-    if best:
-        yield best
+                found = (score / (MATCH * len(want)), at + x + start - int(begin[key[0]]), end - start)
+                if key not in best or (found[0], -found[1]) > (best[key][0], -best[key][1]):
+                    best[key] = found
+    for key, found in best.items():
+        yield *key, *found
 
 
 def blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[pa.Table]:
