@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
-@F.pandas_udf(StringType())
-def strip_marks(s: pd.Series) -> pd.Series:
-    """Compatibility-decomposed text without combining marks (no built-in does this)."""
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
+@functools.cache
+def folds() -> tuple[str, str, dict[str, str]]:
+    """(letters, their plain forms and then marks that go, characters of several):
+    every character whose compatibility decomposition without combining marks holds
+    an ASCII letter or digit, or nothing. From Unicode's own tables."""
+    one: dict[str, str] = {}
+    marks, several = [], {}
+    for c in map(chr, range(0x80, 0x30000)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if not plain:
+            marks.append(c)
+        elif plain != c and any(x.isascii() and (x.isalnum() or x == "&") for x in plain):
+            if len(plain) == 1:
+                one[c] = plain
+            else:
+                several[c] = plain
+    return "".join([*one, *marks]), "".join(one.values()), several
+
+
+def plain_letters(text: Column) -> Column:
+    """text with accents removed from letters and compatibility forms as letters and
+    digits, as far as ASCII has them; by built-in functions only."""
+    letters, plain, several = folds()
+    simple = F.translate(text, letters, plain)
+    table = F.str_to_map(F.lit("\x00".join(f"{c}\x01{p}" for c, p in several.items())), F.lit("\x00"), F.lit("\x01"))
+    spelled = F.array_join(F.transform(F.split(simple, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(simple.rlike("[" + "".join(several) + "]"), spelled).otherwise(simple)
 
 
 def normalized_ascii(text: Column) -> Column:
@@ -25,10 +47,8 @@ def normalized_ascii(text: Column) -> Column:
 
 
 def normalized(text: Column) -> Column:
-    """As normalized_ascii(), with accents removed first. Only values that hold
-    something beyond ASCII go through Python."""
-    plain = F.when(text.rlike(r"[^\x00-\x7F]"), strip_marks(text)).otherwise(text)
-    return normalized_ascii(plain)
+    """As normalized_ascii(), with accents removed first from what holds any."""
+    return normalized_ascii(F.when(text.rlike(r"[^\x00-\x7F]"), plain_letters(text)).otherwise(text))
 
 
 def has_phrase(text: Column, phrase: Column) -> Column:

@@ -96,18 +96,26 @@ def corpus_stats(texts: DataFrame, seen: DataFrame, text: str = "text") -> DataF
     )
 
 
-def stride_subset(df: DataFrame, order: str, k: int) -> DataFrame:
-    """About k rows at even distances in the order of a column. Places are counted per
-    range of the order first, so no task holds all rows."""
+def stride_subset(df: DataFrame, order: str, k: int, range_rows: int = 200_000) -> DataFrame:
+    """About k rows at even distances in the order of a column, ties in the order of a
+    hash of the row. Places are counted per range of the column first, so no task holds
+    all rows; a row's range follows from its value and bounds found on a sample."""
     n = df.count()
-    step = max(1, n // max(1, k))
-    parts = df.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__size")
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
-    placed = parts.withColumn("__own", own).join(sizes, "__part")
-    return placed.filter((F.col("__before") + F.col("__own")) % step == 0).select(*df.columns)
+    step, ranges = max(1, n // max(1, k)), min(1000, -(-n // range_rows))
+    bounds = []
+    if ranges > 1:
+        some = df.select(order).filter(F.col(order).isNotNull()).sample(min(1.0, 40 * ranges / n), seed=42)
+        values = sorted(r[0] for r in some.limit(80 * ranges).collect())
+        bounds = sorted({values[i * len(values) // ranges] for i in range(1, ranges)}) if values else []
+    # how many bounds are not above the value; a null has none
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(order).alias("order"), part.alias("part"))
+    sizes = df.select(part.alias("part")).groupBy("part").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("order", F.xxhash64("row"))) - 1
+    placed = rows.withColumn("own", own).join(sizes, "part")
+    return placed.filter((F.col("before") + F.col("own")) % step == 0).select("row.*")
 
 
 def diverse_subset(vectors: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> DataFrame:

@@ -18,9 +18,12 @@ from quarry.functions import dates, text, values
 
 #: Shares of a column's filled cells from which it has a kind.
 DATE_SHARE, QUANTITY_SHARE, NUMBER_SHARE = 0.7, 0.65, 0.8
-QUANTITY_LABEL = re.compile(r"\b(quantity|qty|amount|volume|units)\b")
-BOOLEAN_LABEL = re.compile(r"\b(is|has|active|enabled|required|flag|passport|paid)\b")
-ID_LABEL = re.compile(r"\b(id|no|number|code|zip|sku|line)\b")
+#: Words in a column's label, in normal form. A protected column is
+#: neither date nor number by its cells alone.
+QUANTITY_LABEL = re.compile(r"\b(quantity|qty|count|unit|units|amount)\b")
+BOOLEAN_LABEL = re.compile(r"^(is|has|can|should|enabled|disabled)\b")
+ID_LABEL = re.compile(r"\b(id|uuid|guid|code|zip|postal|phone|account number)\b")
+LINE_LABEL = re.compile(r"^(item|line|line number|line no|no|number)$")
 
 
 def long_form(sheet: DataFrame) -> DataFrame:
@@ -31,35 +34,48 @@ def long_form(sheet: DataFrame) -> DataFrame:
     return sheet.select("row_index", cells).groupBy(F.col("x.column").alias("column"), F.col("x.raw").alias("raw")).agg(F.count("*").alias("n"), F.min("row_index").alias("first"))
 
 
+def column_counts(sheet: DataFrame) -> DataFrame:
+    """One row per column: filled cells, those that parse as number, quantity, date and
+    boolean, and the boolean words among them. One pass, from which each task sends
+    one row; nothing else is shuffled."""
+    names = [c for c in sheet.columns if c != "row_index"]
+
+    def counts(c: str) -> Column:
+        raw = F.col(f"`{c}`").cast("string")
+        some = ~text.is_blank(raw)
+        n = lambda ok, name: F.count_if(some & ok).alias(name)
+        words = F.size(F.collect_set(F.when(some & values.boolean(raw).isNotNull(), F.lower(F.trim(raw)))))
+        return F.struct(
+            F.lit(c).alias("column"), F.count_if(some).alias("filled"), n(values.number(raw).isNotNull(), "numbers"), n(values.quantity(raw).isNotNull(), "quantities"),
+            n(values.timestamp(raw).isNotNull(), "dates"), n(values.boolean(raw).isNotNull(), "booleans"), words.alias("boolean_words"),
+        )
+
+    return sheet.agg(F.array(*map(counts, names)).alias("x")).select(F.inline("x")).filter("filled > 0")
+
+
 def profile(sheet: DataFrame, examples: int = 5) -> DataFrame:
-    """One row per column: filled cells, distinct normalized values, cells that parse
-    as number, quantity, date and boolean, and the first distinct examples."""
+    """column_counts() with distinct normalized values and the first distinct examples
+    of each column, which do ask for a shuffle of distinct cells."""
     cells = long_form(sheet).filter(~text.is_blank(F.col("raw")))
-    raw = F.col("raw")
-    of = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).alias
-    counts = cells.groupBy("column").agg(
-        F.sum("n").alias("filled"), F.count_distinct(F.nullif(text.normalized(raw), F.lit(""))).alias("distinct_values"),
-        of(values.number(raw).isNotNull())("numbers"), of(values.quantity(raw).isNotNull())("quantities"),
-        of(values.timestamp(raw).isNotNull())("dates"), of(values.boolean(raw).isNotNull())("booleans"),
-    )
+    distinct = cells.groupBy("column").agg(F.count_distinct(F.nullif(text.normalized(F.col("raw")), F.lit(""))).alias("distinct_values"))
     n = F.row_number().over(Window.partitionBy("column").orderBy("first", "raw"))
     shown = cells.withColumn("k", n).filter(F.col("k") <= examples)
     shown = shown.groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "raw"))), lambda x: x["raw"]).alias("examples"))
-    return counts.join(shown, "column")
+    return column_counts(sheet).join(distinct, "column").join(shown, "column")
 
 
-def kinds(profiled: DataFrame) -> dict[str, str]:
-    """number, date, boolean or text of every profiled column (one row per column)."""
+def kinds(counted: DataFrame) -> dict[str, str]:
+    """number, date, boolean or text of every column of column_counts() or profile()
+    (one row per column)."""
     out = {}
-    for r in profiled.drop("examples").collect():
-        label, filled = r["column"].replace("_", " "), r["filled"]
-        if r["dates"] >= DATE_SHARE * filled:
+    for r in counted.select("column", "filled", "numbers", "quantities", "dates", "booleans", "boolean_words").collect():
+        label, filled = " ".join(re.findall("[a-z0-9]+", r["column"].lower())), r["filled"]
+        protected = ID_LABEL.search(label) or LINE_LABEL.search(label)
+        if not protected and r["dates"] >= DATE_SHARE * filled:
             kind = "date"
-        elif ID_LABEL.search(label):
-            kind = "text"
-        elif QUANTITY_LABEL.search(label) and r["quantities"] >= QUANTITY_SHARE * filled or r["numbers"] >= NUMBER_SHARE * filled:
+        elif QUANTITY_LABEL.search(label) and r["quantities"] >= QUANTITY_SHARE * filled or not protected and r["numbers"] >= NUMBER_SHARE * filled:
             kind = "number"
-        elif BOOLEAN_LABEL.search(label) and r["booleans"] == filled and r["distinct_values"] <= 2:
+        elif BOOLEAN_LABEL.search(label) and r["booleans"] == filled and r["boolean_words"] <= 2:
             kind = "boolean"
         else:
             kind = "text"

@@ -82,9 +82,9 @@ def corpus_statistics(t: Tables) -> DataFrame:
     return ev.corpus_stats(t.conversations, t.conversations.filter("turn = 0")).select("texts", "overlap", F.round("mean_tokens", 6).alias("mean_tokens"))
 
 
-@query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS total FROM orders) SELECT o_orderkey FROM n WHERE k % greatest(1, total // 100) = 0""")
+@query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS total FROM orders) SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM n WHERE k % greatest(1, total // 100) = 0""")
 def stride_subset(t: Tables) -> DataFrame:
-    return ev.stride_subset(t.orders.select("o_orderkey"), "o_orderkey", 100)
+    return ev.stride_subset(t.orders, "o_orderkey", 100).withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
 @query()

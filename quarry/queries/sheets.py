@@ -35,7 +35,7 @@ def sheet_profile(t: Tables) -> DataFrame:
 
 @query("""SELECT * FROM (VALUES ('order_value', 'number'), ('order_date', 'date'), ('order_status', 'text'), ('priority', 'text')) AS v("column", kind)""")
 def sheet_column_kinds(t: Tables) -> DataFrame:
-    found = sheet.kinds(sheet.profile(orders(t)))
+    found = sheet.kinds(sheet.column_counts(orders(t)))
     return t.spark.createDataFrame(sorted(found.items()), "column string, kind string")
 
 

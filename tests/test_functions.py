@@ -24,6 +24,16 @@ def test_quantities(spark):
     assert applied(spark, values.quantity, list(cases)) == list(cases.values())
 
 
+def test_quantities_below_zero_with_long_dashes_and_plain_numbers(spark):
+    cases = {"-5L": -5.0, "3 – 4 m": 4.0, "10 - 20": 20.0, "-2--1": -1.0, "$1,200": 1200.0, "(42)": -42.0, "12 V": None, "rated 5": None, "voltage: 3": None, "5 volleys": 5.0}
+    assert applied(spark, values.quantity, list(cases)) == list(cases.values())
+
+
+def test_years_of_two_digits(spark):
+    cases = {"1/2/24": dt.datetime(2024, 1, 2), "12/31/99": dt.datetime(1999, 12, 31), "1/1/50": dt.datetime(1950, 1, 1), "1/1/49": dt.datetime(2049, 1, 1), "2/30/24": None, "1/2/123": None}
+    assert applied(spark, values.timestamp, list(cases)) == list(cases.values())
+
+
 def test_booleans(spark):
     assert applied(spark, values.boolean, ["Yes", "n", "TRUE", "maybe", "", None]) == [True, False, True, None, None, None]
 
@@ -39,6 +49,24 @@ def test_normalized_text(spark):
     assert applied(spark, text.normalized, list(cases)) == list(cases.values())
 
 
+def test_normalized_text_of_every_letter(spark):
+    """As Unicode's own decomposition says, and without Python in the plan."""
+    import re
+    import unicodedata
+
+    letters = [chr(c) for c in (*range(0x20, 0x2600), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(letters[k : k + 7]) for k in range(0, len(letters), 7)] + ["e\u0301a", "①⑩Ⅷ½", "ǆ ĳ", "＆"]
+
+    def want(t):
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower().replace("&", " and ")
+        return re.sub("[^a-z0-9]+", " ", t).strip(" ")
+
+    got = applied(spark, text.normalized, texts)
+    assert [(t, x) for t, x in zip(texts, got, strict=True) if x != want(t)] == []
+    plan = spark.createDataFrame([("é",)], "x string").select(text.normalized(F.col("x")))._jdf.queryExecution().toString()
+    assert "Python" not in plan
+
+
 def test_phrases(spark):
     df = spark.createDataFrame([("red fox", "red"), ("redder fox", "red"), ("a red", "red"), ("a", "")], "t string, p string")
     assert [r[0] for r in df.select(text.has_phrase(F.col("t"), F.col("p"))).collect()] == [True, False, True, False]

@@ -28,6 +28,28 @@ def test_sheet_profile_and_kinds(revenue):
     assert sheet.kinds(profiled) == {"region": "text", "revenue": "number", "order_date": "date", "is_active": "boolean", "order_id": "text"}
 
 
+def test_kinds_follow_labels(spark):
+    rows = [("7", "7", "1", "yes", "2024-01-02", "2024-01-02", "5 m", "2m"), ("8", "9", "2", "no", "2024-01-03", "2024-01-03", "7 m", "")]
+    df = spark.createDataFrame(rows, "number_of_seats string, zip_code string, line_no string, has_key string, due string, date_code string, count string, length string")
+    want = {"number_of_seats": "number", "zip_code": "text", "line_no": "text", "has_key": "boolean", "due": "date", "date_code": "text", "count": "number", "length": "text"}
+    counted = sheet.column_counts(df)
+    assert sheet.kinds(counted) == want == sheet.kinds(sheet.profile(df.withColumn("row_index", F.monotonically_increasing_id())))
+    assert "Generate explode" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert sheet.column_counts(df.limit(0)).count() == 0
+
+
+def test_stride_over_ranges_and_wide_rows(spark):
+    from quarry.jobs.evaluation import stride_subset
+
+    df = spark.range(30_000).select((F.col("id") * 7919 % 30_000).alias("k"), F.repeat(F.lit("wide "), 200).alias("w"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("part"))
+    got = stride_subset(df, "k", 100, range_rows=500).collect()
+    assert sorted(r["k"] for r in got) == list(range(0, 30_000, 300)) and got[0]["w"] == "wide " * 200
+    keys = spark.createDataFrame([(None, "n")] * 5 + [("a", "x")] * 500 + [(f"b{k:04}", "y") for k in range(495)], "k string, v string")
+    got = stride_subset(keys, "k", 10, range_rows=50).collect()
+    assert len(got) == 10 and sum(r["v"] == "y" for r in got) == 4
+    assert stride_subset(df.limit(0), "k", 5).count() == 0
+
+
 def test_sheet_filters_with_blanks(revenue):
     kinds = sheet.kinds(sheet.profile(revenue))
     ids = lambda *f: sorted(r["row_index"] for r in sheet.filtered(revenue, list(f), kinds).collect())
@@ -139,6 +161,32 @@ def test_statements_that_are_refused(spark, query):
         scope.checked(spark, query)
 
 
+@pytest.mark.parametrize("query", [
+    "WITH t AS (SELECT 7 AS a) INSERT INTO written SELECT a FROM t", "FROM users INSERT INTO written SELECT id INSERT INTO written SELECT id + 1",
+    "WITH t AS (SELECT 7 AS a) INSERT OVERWRITE written SELECT a FROM t", "MERGE INTO written w USING users u ON w.a = u.id WHEN MATCHED THEN DELETE",
+    "FROM users INSERT INTO written SELECT id", "UPDATE written SET a = 1", "SELECT * FROM global_temp.raw_users", "SELECT * FROM raw_table", "SELECT id FROM users WHERE id IN (SELECT id FROM raw_table)",
+    "WITH c AS (SELECT * FROM raw_table) SELECT * FROM c", "SELECT (SELECT max(id) FROM global_temp.raw_users)", "SELECT * FROM users u, LATERAL (SELECT * FROM raw_table r WHERE r.id = u.id)",
+    "SELECT 1 FROM users GROUP BY 1 HAVING max(id) < (SELECT max(id) FROM raw_table)",
+])
+def test_writes_and_unscoped_tables_are_refused(spark, tmp_path, query):
+    loaders, rules = scoped(spark, tmp_path)
+    raw = loaders["users"](spark)
+    raw.createOrReplaceGlobalTempView("raw_users")
+    for name, df in (("written", raw.select(F.col("id").alias("a")).limit(0)), ("raw_table", raw)):
+        if not spark.catalog.tableExists(name):
+            df.write.mode("overwrite").option("path", str(tmp_path / name)).saveAsTable(name)
+    try:
+        own = scope.scoped_session(spark, loaders, rules, {"tenant": "t1"})
+        with pytest.raises(scope.ScopeError):
+            scope.run(own, query)
+        assert spark.table("written").count() == 0
+        with pytest.raises(scope.ScopeError):
+            scope.run(spark, "SELECT 1")
+    finally:
+        spark.sql("DROP TABLE written")
+        spark.sql("DROP TABLE raw_table")
+
+
 def test_scopes_fail_closed(spark, tmp_path):
     loaders, rules = scoped(spark, tmp_path)
     with pytest.raises(scope.ScopeError):
