@@ -83,6 +83,19 @@ def families(tables: DataFrame) -> DataFrame:
     return own.groupBy("base", "anchor").agg(F.array_sort(F.collect_set("table")).alias("members"), F.count_distinct("table").alias("n")).filter("n > 1")
 
 
+def shard_activity(families: DataFrame, rows: DataFrame) -> DataFrame:
+    """families (base, anchor, members) with what rows (table, rows) says of them:
+    base_exists, base_rows, shard_rows (of all shards), active (tables of the family
+    that have rows, the base too) and ambiguous (more than one has)."""
+    shards = families.select("base", "anchor", F.explode("members").alias("table")).join(rows, "table", "left")
+    some = F.coalesce("rows", F.lit(0)) > 0
+    per = shards.groupBy("base", "anchor").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("shard_rows"), F.count_if(some).alias("n"), F.array_sort(F.collect_list(F.when(some, F.col("table")))).alias("own"))
+    met = per.join(rows.select(F.col("table").alias("base"), F.col("rows").alias("base_rows"), F.lit(True).alias("there")), "base", "left")
+    base_active = F.coalesce("base_rows", F.lit(0)) > 0
+    active = F.concat(F.when(base_active, F.array("base")).otherwise(F.array().cast("array<string>")), "own")
+    return met.select("base", "anchor", F.coalesce("there", F.lit(False)).alias("base_exists"), "base_rows", "shard_rows", active.alias("active"), ((F.col("n") + base_active.cast("int")) > 1).alias("ambiguous"))
+
+
 def shard_drift(columns: DataFrame, reference: str) -> DataFrame:
     """(table, column, drift): missing, extra or type, of columns (table, column, type)
     of shards against those of the reference table."""

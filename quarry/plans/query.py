@@ -6,8 +6,11 @@ plans it. Entities are joined along declared relationships by the shortest path.
 
 from __future__ import annotations
 
+import re
 from collections import deque
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from datetime import date, datetime, time
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -86,6 +89,58 @@ OPERATORS = {
     "like": lambda c, v: c.like(v[0]), "not like": lambda c, v: ~c.like(v[0]), "is null": lambda c, v: c.isNull(), "is not null": lambda c, v: c.isNotNull(),
 }
 ORDERED = ("<", "<=", ">", ">=", "between", "window")
+#: Other names of operators.
+SYNONYMS = {
+    "==": "=", "eq": "=", "equals": "=", "is": "=", "!=": "<>", "ne": "<>", "not equals": "<>", "is not": "<>", "gt": ">", "gte": ">=", "ge": ">=", "lt": "<", "lte": "<=", "le": "<=",
+    "one of": "in", "contains": "like", "isnull": "is null", "notnull": "is not null", "not null": "is not null",
+}
+#: Words taken as true and false.
+TRUE, FALSE = ("1", "true", "yes", "y"), ("0", "false", "no", "n")
+NUMBER, DAY = re.compile(r"-?\d+(\.\d+)?"), re.compile(r"\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2})?)?")
+ENDS = re.compile(r"\s*(.+?)\s*(?:\.\.|\bto\b)\s*(.+?)\s*")
+
+
+def family(kind: str) -> str:
+    """number, boolean, date, text or other of a Spark type."""
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        return "number"
+    return {"boolean": "boolean", "date": "date", "timestamp": "date", "timestamp_ntz": "date", "string": "text"}.get(kind, "other")
+
+
+def coerced(value: object, kind: str) -> Column:
+    """value as a literal of a field's type, or PlanError: a number, or text that is
+    one, for a number; a day, with a time or not, for a date; a word for a boolean."""
+    if isinstance(value, Column):
+        return value
+    of, text = family(kind), str(value).strip()
+    if of == "number" and not isinstance(value, bool) and (isinstance(value, int | float | Decimal) or NUMBER.fullmatch(text)):
+        # a fraction stays one beside a field of whole numbers
+        return F.lit(value) if not isinstance(value, str) else F.lit(text).cast("decimal(38,10)" if "." in text else "bigint")
+    if of == "boolean" and (isinstance(value, bool) or text.lower() in TRUE + FALSE):
+        return F.lit(value if isinstance(value, bool) else text.lower() in TRUE)
+    if of == "date" and (isinstance(value, date) or DAY.fullmatch(text)):
+        try:
+            made = value if isinstance(value, date) else datetime.fromisoformat(text)
+        except ValueError:
+            raise PlanError("invalid_filter_value", f"{value!r} is no day") from None
+        return F.lit(str(made)).cast("date" if kind == "date" and not (isinstance(made, datetime) and made.time() != time()) else "timestamp_ntz")
+    if of in ("text", "other") and not isinstance(value, bool | list | dict | tuple | type(None)):
+        return F.lit(str(value) if of == "text" else value)
+    raise PlanError("invalid_filter_value", f"{value!r} for a field of type {kind}")
+
+
+def grounded(c: Condition, kind: str) -> Condition:
+    """c with its operator's own name, the ends of a range apart, and operands as
+    literals of the field's type."""
+    op = SYNONYMS.get(c.op.strip().lower(), c.op.strip().lower())
+    operands = c.operands
+    if op in ("between", "window") and len(operands) == 1 and isinstance(operands[0], str) and (ends := ENDS.fullmatch(operands[0])):
+        operands = ends.groups()
+    if "like" in op:
+        return replace(c, op=op, operands=operands)
+    return replace(c, op=op, operands=tuple(coerced(v, kind) for v in operands))
+
+
 AGGREGATES = {"count": F.count, "count_distinct": F.count_distinct, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 
 
@@ -127,12 +182,13 @@ def validate(plan: Plan, tables: dict[str, DataFrame]) -> None:
         if i.aggregate not in (None, "rate", *AGGREGATES):
             raise PlanError("unknown_aggregate", str(i.aggregate))
     for c in conditions:
-        if c.op not in OPERATORS:
-            raise PlanError("unknown_operator", c.op)
         kind = dict(tables[c.entity].dtypes)[c.field]
+        if SYNONYMS.get(c.op.strip().lower(), c.op.strip().lower()) not in OPERATORS:
+            raise PlanError("unknown_operator", c.op)
+        c = grounded(c, kind)
         if "like" in c.op and kind != "string":
             raise PlanError("operator_type_mismatch", f"{c.op} on {kind}")
-        if c.op in ORDERED and kind in ("boolean", "binary"):
+        if c.op in ORDERED and (family(kind) in ("boolean", "text") or kind == "binary"):
             raise PlanError("operator_type_mismatch", f"{c.op} on {kind}")
         need = {"in": 1, "not in": 1, "between": 2, "window": 2, "is null": 0, "is not null": 0}.get(c.op, 1)
         if len(c.operands) < need or need != 1 and len(c.operands) != need:
@@ -148,7 +204,12 @@ def compiled(plan: Plan, tables: dict[str, DataFrame], relationships: list[Relat
     validate(plan, tables)
     named = entities(plan)
     column = lambda e, f: F.col(f"`{e}`.`{f}`")
-    predicate = lambda c: OPERATORS[c.op](column(c.entity, c.field), c.operands)
+    kinds = {e: dict(tables[e].dtypes) for e in named}
+
+    def predicate(c: Condition) -> Column:
+        c = grounded(c, kinds[c.entity][c.field])
+        return OPERATORS[c.op](column(c.entity, c.field), c.operands)
+
     df, joined = tables[named[0]].alias(named[0]), {named[0]}
     for e in named[1:]:
         for r in join_path(relationships, joined, e):

@@ -67,6 +67,19 @@ def table_families(t: Tables) -> DataFrame:
     return catalog.families(names).withColumn("members", F.array_join("members", ","))
 
 
+@query("""WITH s AS (SELECT 'sales_' || CASE WHEN o_orderpriority < '3' THEN 'year_' ELSE 'day_' END || year(o_orderdate) AS t, CASE WHEN o_orderpriority < '3' THEN 'year' ELSE 'day' END AS anchor,
+count(*) FILTER (o_orderstatus = 'P' AND year(o_orderdate) % 2 = 1) AS n FROM orders GROUP BY ALL)
+SELECT 'sales' AS base, anchor, true AS base_exists, (SELECT count(*) FROM customer) AS base_rows, sum(n)::BIGINT AS shard_rows,
+'sales' || coalesce(',' || string_agg(t, ',' ORDER BY t) FILTER (n > 0), '') AS active, count(*) FILTER (n > 0) > 0 AS ambiguous FROM s GROUP BY anchor""")
+def shard_activity(t: Tables) -> DataFrame:
+    anchor = F.when(F.col("o_orderpriority") < "3", "year").otherwise("day")
+    year = F.year("o_orderdate")
+    shards = t.orders.groupBy(F.concat(F.lit("sales_"), anchor, F.lit("_"), year.cast("string")).alias("table"))
+    shards = shards.agg(F.count_if((F.col("o_orderstatus") == "P") & (year % 2 == 1)).alias("rows"))
+    rows = shards.unionByName(t.customer.agg(F.lit("sales").alias("table"), F.count("*").alias("rows")))
+    return catalog.shard_activity(catalog.families(shards.select("table")), rows).withColumn("active", F.array_join("active", ","))
+
+
 @query("""SELECT * FROM (VALUES ('supplier', 'custkey', 'missing'), ('supplier', 'mktsegment', 'missing'), ('supplier', 'suppkey', 'extra'),
 ('orders', 'acctbal', 'missing'), ('orders', 'mktsegment', 'missing'), ('orders', 'name', 'missing'), ('orders', 'nationkey', 'missing'),
 ('orders', 'orderkey', 'extra'), ('orders', 'orderstatus', 'extra'), ('orders', 'totalprice', 'extra'), ('orders', 'orderdate', 'extra'), ('orders', 'orderpriority', 'extra')) AS v("table", "column", drift)""")

@@ -61,6 +61,16 @@ def membership_and_range_filters(t: Tables) -> DataFrame:
     return planned(t, Plan(items=(Item("orders", None, "count", "n"),), group=(Item("orders", "o_orderpriority"),), where=where))
 
 
+@query("""SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice BETWEEN 1000 AND 200000.5 AND o_orderdate >= TIMESTAMP '1996-02-01' AND o_custkey <> 7 AND o_orderstatus IN ('F', 'O') GROUP BY 1""")
+def operands_given_as_text(t: Tables) -> DataFrame:
+    where = (
+        Condition("orders", "o_totalprice", "BETWEEN", ("1000 to 200000.5",)), Condition("orders", "o_orderdate", "gte", ("1996-02-01",)),
+        Condition("orders", "o_custkey", "!=", ("7",)), Condition("orders", "o_orderstatus", "one of", ("F", "O")),
+    )
+    plan = Plan(items=(Item("orders", None, "count", "n"),), group=(Item("orders", "o_orderpriority"),), where=where, base="orders")
+    return compiled(plan, {"orders": t.orders}, [])
+
+
 @query("""SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal < 0 OR c_name LIKE '%99'""")
 def any_of_filters(t: Tables) -> DataFrame:
     any_of = (Condition("customer", "c_mktsegment", "=", ("BUILDING",)), Condition("customer", "c_acctbal", "<", (0,)), Condition("customer", "c_name", "like", ("%99",)))

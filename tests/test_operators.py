@@ -125,6 +125,24 @@ def test_join_paths():
         join_path(edges[:1], {"a"}, "c")
 
 
+@pytest.mark.parametrize(("field", "op", "operand", "ids"), [
+    ("n", ">", "1.5", [2, 3]), ("n", "=", 2, [2]), ("n", "in", ("1", 3), [1, 3]), ("n", "between", "1..2", [1, 2]), ("n", ">", "abc", None), ("n", "=", True, None), ("n", "=", None, None),
+    ("d", ">=", "2024-01-02", [2, 3]), ("d", "<", "2024-01-02 12:00", [1, 2]), ("d", "between", "2024-01-01 to 2024-01-02", [1, 2]), ("d", ">", "soon", None), ("d", ">", "2024-13-01", None), ("d", "=", 5, None),
+    ("b", "=", "yes", [1, 3]), ("b", "is", False, [2]), ("b", "=", "maybe", None), ("b", ">", True, None), ("s", "==", 7, [3]), ("s", "!=", "a", [2, 3]), ("s", ">", "a", None), ("s", "=", ["a"], None),
+    ("t", ">", "2024-01-02", [2, 3]), ("t", "<=", "2024-01-02T06:00", [1, 2]),
+])
+def test_operands_are_read_by_the_type_of_the_field(spark, field, op, operand, ids):
+    rows = [(1, 1, "2024-01-01", True, "a"), (2, 2, "2024-01-02", False, "b"), (3, 3, "2024-01-03", True, "7")]
+    df = spark.createDataFrame(rows, "id int, n bigint, d string, b boolean, s string")
+    df = df.withColumns({"d": F.col("d").cast("date"), "t": F.concat("d", F.lit(" 06:00:00")).cast("timestamp_ntz")})
+    plan = Plan(items=(Item("x", "id"),), where=(Condition("x", field, op, operand if isinstance(operand, tuple) else (operand,)),))
+    if ids is None:
+        with pytest.raises(PlanError, match="invalid_filter_value|operator_type_mismatch"):
+            compiled(plan, {"x": df}, [])
+    else:
+        assert sorted(r["id"] for r in compiled(plan, {"x": df}, []).collect()) == ids
+
+
 QUERIES = [
     "SELECT id FROM users", "SELECT u.id FROM users AS u", "SELECT id FROM USERS", "SELECT id FROM `users`", "SELECT id FROM (SELECT * FROM users) x",
     "WITH c AS (SELECT * FROM users) SELECT id FROM c", "SELECT id FROM users UNION ALL SELECT id FROM users WHERE false", "SELECT id FROM users INTERSECT SELECT id FROM users",

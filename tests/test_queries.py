@@ -67,3 +67,26 @@ def test_entry_stands_without_the_corpus_operators(spark, monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLE)
     assert entry.entry(spark).count() == 5
+
+
+def test_errors_within_the_corpus_operators_are_not_hidden(monkeypatch):
+    import builtins
+    import importlib.util
+    import sys
+
+    if importlib.util.find_spec("quarry.llm") is None:
+        pytest.skip("not there")
+    real = builtins.__import__
+
+    def without(name, *args, **kwargs):
+        if name == "xxhash":
+            raise ModuleNotFoundError("No module named 'xxhash'", name="xxhash")
+        return real(name, *args, **kwargs)
+
+    for name in [k for k in sys.modules if k.startswith("quarry.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setattr(builtins, "__import__", without)
+    import __spark_entry__
+
+    with pytest.raises(ModuleNotFoundError, match="xxhash"):
+        __spark_entry__.queries()
