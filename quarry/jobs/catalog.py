@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +39,83 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
     return have.join(parent.select(F.col(key).alias("value")), "value", "left_anti").groupBy("value").agg(F.count("*").alias("n_rows"))
 
 
+def key_inclusion(tables: dict[str, DataFrame], candidates: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(table, column, target, target_column, n_values, n_found) of candidates for
+    foreign keys: a column's distinct values, nulls apart, and those the target has.
+    A key holds if both are equal. Candidates are rows of a catalog, each a join by value."""
+    parts = []
+    for t, c, target, key in candidates:
+        have = tables[t].select(F.col(c).alias("value")).filter("value IS NOT NULL").distinct()
+        known = tables[target].select(F.col(key).alias("value")).filter("value IS NOT NULL").distinct().withColumn("there", F.lit(True))
+        n = have.join(known, "value", "left").agg(F.count("*").alias("n_values"), F.count("there").alias("n_found"))
+        parts.append(n.select(*(F.lit(x).alias(k) for k, x in zip(("table", "column", "target", "target_column"), (t, c, target, key))), "n_values", "n_found"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Fixed value: a key name that more tables share joins none of them.
+MOST_SHARING = 8
+
+
+def shared_keys(columns: DataFrame) -> DataFrame:
+    """(name, left, left_column, right, right_column): pairs of tables that hold a key
+    of one name (prefixes of a table apart), of names that at most MOST_SHARING share."""
+    bare = F.regexp_replace(F.lower("column"), "^[a-z]{1,2}_", "")
+    keys = columns.select("table", "column", bare.alias("name")).filter(F.col("name").rlike("(id|key|code)$") & ~F.col("name").isin("id", "key", "code"))
+    tables = F.size(F.collect_set("table").over(Window.partitionBy("name")))
+    keys = keys.withColumn("n", tables).filter(F.col("n").between(2, MOST_SHARING))
+    side = lambda s: keys.select("name", F.col("table").alias(s), F.col("column").alias(f"{s}_column"))
+    return side("left").join(side("right"), "name").filter(F.col("left") < F.col("right"))
+
+
+def declared_keys(usage: DataFrame, references: DataFrame) -> DataFrame:
+    """(table, column, target, target_column) of the keys a database declares.
+
+    usage: (schema, constraint, table, column, position), the columns of each
+    constraint; references: (schema, constraint, target_schema, target_constraint).
+    A key of several columns gives one row per column, matched by position."""
+    own = usage.select("schema", "constraint", "table", "column", "position")
+    target = usage.select(
+        F.col("schema").alias("target_schema"), F.col("constraint").alias("target_constraint"), F.col("table").alias("target"), F.col("column").alias("target_column"), "position"
+    )
+    return own.join(references, ["schema", "constraint"]).join(target, ["target_schema", "target_constraint", "position"]).select("table", "column", "target", "target_column")
+
+
+def described_fields(fields: DataFrame, samples: DataFrame, keys: DataFrame) -> DataFrame:
+    """fields (table, column, type) with values, the sorted sample values of each
+    (table, column, value; none: empty), and is_key, whether keys has the column."""
+    name = F.concat_ws(".", "table", "column").alias("name")
+    values = samples.groupBy(name).agg(F.array_sort(F.collect_set("value")).alias("values"))
+    known = keys.select(name).distinct().withColumn("there", F.lit(True))
+    met = fields.withColumn("name", name).join(values, "name", "left").join(known, "name", "left")
+    return met.select("table", "column", "type", F.coalesce("values", F.array().cast("array<string>")).alias("values"), F.col("there").isNotNull().alias("is_key"))
+
+
+def overlap_ranking(questions: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """(question, target, score, place): the k targets whose labels share most words
+    with a question, of questions (question, text) and labels (target, label). score is
+    the share of a label's distinct words that the text has; ties go by target."""
+    words = lambda c: F.array_distinct(F.filter(F.split(normalized(F.coalesce(F.col(c), F.lit(""))), " "), lambda w: w != ""))
+    asked = questions.select("question", F.explode(words("text")).alias("word"))
+    known = labels.select("target", words("label").alias("w")).select("target", F.size("w").alias("size"), F.explode("w").alias("word"))
+    shared = asked.join(known, "word").groupBy("question", "target", "size").agg(F.count("*").alias("n"))
+    scored = shared.select("question", "target", (F.col("n") / F.col("size")).alias("score"))
+    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "target"))
+    return scored.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def anchors(questions: DataFrame, fields: DataFrame) -> DataFrame:
+    """questions (question, text) with target, the date field of fields (target, label,
+    type) whose label fits best, and ambiguous: if several fit alike there is none. With
+    one date field alone, that is the one."""
+    dated = fields.filter(F.col("type").isin("date", "timestamp", "timestamp_ntz"))
+    only = dated.agg(F.when(F.count("*") == 1, F.first("target")).alias("only"))
+    best = overlap_ranking(questions, dated, 2).groupBy("question").agg(F.array_sort(F.collect_list(F.struct("place", "target", "score"))).alias("b"))
+    met = questions.join(best, "question", "left").crossJoin(F.broadcast(only))  # one row
+    tied = F.coalesce(F.get("b", F.lit(0))["score"] == F.get("b", F.lit(1))["score"], F.lit(False))
+    target = F.coalesce(F.when(~tied, F.get("b", F.lit(0))["target"]), F.when(F.col("b").isNull(), F.col("only")))
+    return met.select(*questions.columns, target.alias("target"), tied.alias("ambiguous"))
+
+
 def value_index(tables: dict[str, DataFrame], fields: list[tuple[str, str]], longest: int = 100) -> DataFrame:
     """(norm, fields): in which table.column each normalized text value occurs, of
     values of 2 to longest characters."""

@@ -83,6 +83,48 @@ def text_features(texts: DataFrame, text: str = "text") -> list[Column]:
     ]
 
 
+#: Names after FROM and JOIN, and an operator between two operands outside quotes.
+TABLE, ARITHMETIC = r"(?i)\b(?:from|join)\s+([a-z_][a-z0-9_.]*)", r"(?i)[a-z0-9_)]\s*[-+*/%]\s*[a-z0-9_(]"
+#: The star that stands for all columns.
+STAR = r"(?i)\b(?:select|distinct)\s+\*"
+QUOTED = r"'(?:[^']|'')*'"
+
+
+def structure_features(text: str = "text") -> list[Column]:
+    """What statements read and select: tables (sorted, in lower case), projections
+    (items before FROM, commas within brackets apart) and has_arithmetic."""
+    bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), QUOTED, "''")
+    # innermost brackets first, three deep; what they hold is no item of its own
+    selected = F.regexp_extract(bare, r"(?is)\bselect\s+(.*?)\s+from\b", 1)
+    for _ in range(3):
+        selected = F.regexp_replace(selected, r"\([^()]*\)", "")
+    items = F.when(F.trim(selected) == "", 0).otherwise(F.size(F.split(selected, ",")))
+    return [
+        F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(TABLE), F.lit(1)), F.lower))).alias("tables"),
+        items.alias("projections"), F.regexp_replace(bare, STAR, "").rlike(ARITHMETIC).alias("has_arithmetic"),
+    ]
+
+
+#: Fixed value: inner joins that a skeleton may hold.
+MOST_JOINS = 3
+
+
+def skeletons(statements: DataFrame, text: str = "text") -> DataFrame:
+    """statements with skip, why one has no skeleton (set_op, cte, join, subquery or
+    other, the first that applies; null: none), and skeleton, its text with every
+    quoted text and number as ?, white space collapsed; null if skipped."""
+    t = collapsed(F.coalesce(F.col(text), F.lit("")))
+    bare = F.regexp_replace(t, QUOTED, "?")
+    count = lambda p: F.size(F.regexp_extract_all(bare, F.lit(p), F.lit(0)))
+    skip = (
+        F.when(bare.rlike(r"(?i)\b(?:union|intersect|except)\b"), "set_op").when(bare.rlike(r"(?i)^with\b"), "cte")
+        .when((count(r"(?i)\bjoin\b") > MOST_JOINS) | bare.rlike(r"(?i)\b(?:left|right|full|cross)\s+(?:outer\s+)?join\b"), "join")
+        .when(count(r"(?i)\bselect\b") > 1, "subquery").when(~bare.rlike(r"(?i)^select\b"), "other")
+    )
+    made = F.regexp_replace(bare, r"\b\d+(?:\.\d+)?\b", "?")
+    return statements.withColumns({"skip": skip, "skeleton": F.when(skip.isNull(), made)})
+
+
 def corpus_stats(texts: DataFrame, seen: DataFrame, text: str = "text") -> DataFrame:
     """One row: texts, shares with each clause, mean tokens, and texts that seen has
     too, but for white space and case."""

@@ -7,7 +7,6 @@ plans it. Entities are joined along declared relationships by the shortest path.
 from __future__ import annotations
 
 import re
-from collections import deque
 from dataclasses import dataclass, field, replace
 from datetime import date, datetime, time
 from decimal import Decimal
@@ -144,20 +143,57 @@ def grounded(c: Condition, kind: str) -> Condition:
 AGGREGATES = {"count": F.count, "count_distinct": F.count_distinct, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 
 
+#: How much a join by a column of a name is preferred.
+PREFERENCES = {"uuid": 4, "id": -2}
+
+
+def preference(r: Relationship) -> int:
+    return sum(PREFERENCES.get(f, 0) for f in {r.left_field.lower(), r.right_field.lower()})
+
+
+def resolved(plan: Plan, tables: dict[str, DataFrame]) -> Plan:
+    """plan with an entity for every field that names none (entity ""): the only one
+    that has the field, of those the plan names, or else of all; PlanError if there are
+    several or none."""
+    named = [e for e in entities(plan) if e in tables]
+
+    def owner(name: str) -> str:
+        for among in (named, list(tables)):
+            have = [e for e in among if name in tables[e].columns]
+            if len(have) == 1:
+                return have[0]
+            if have:
+                raise PlanError("ambiguous_field", f"{name} is in {', '.join(have)}")
+        raise PlanError("unknown_field", name)
+
+    def item(i: Item) -> Item:
+        own = i if i.condition is None else replace(i, condition=condition(i.condition))
+        return own if own.entity or own.field is None else replace(own, entity=owner(own.field))
+
+    def condition(c: Condition) -> Condition:
+        return c if c.entity else replace(c, entity=owner(c.field))
+
+    each = lambda f, xs: tuple(map(f, xs))
+    return replace(plan, items=each(item, plan.items), group=each(item, plan.group), where=each(condition, plan.where), any_of=each(condition, plan.any_of))
+
+
 def join_path(relationships: list[Relationship], start: set[str], goal: str) -> list[Relationship]:
     """The fewest relationships that lead from start to goal, in either direction,
-    each written from the side already joined. Two paths of one length differ by
-    the order in which relationships are declared."""
+    each written from the side already joined. Of several paths of one length the one
+    whose edges are preferred most is taken, then the one declared first."""
     steps = [r for r in relationships] + [Relationship(r.right, r.right_field, r.left, r.left_field) for r in relationships]
-    seen, queue = set(start), deque((s, []) for s in sorted(start))
-    while queue:
-        at, path = queue.popleft()
-        if at == goal:
-            return path
-        for r in steps:
-            if r.left == at and r.right not in seen:
-                seen.add(r.right)
-                queue.append((r.right, [*path, r]))
+    seen, reached = set(start), {s: [] for s in sorted(start)}
+    while reached and goal not in reached:
+        further: dict[str, list[Relationship]] = {}
+        for at, path in reached.items():
+            for r in (r for r in steps if r.left == at and r.right not in seen):
+                own = [*path, r]
+                if r.right not in further or sum(map(preference, own)) > sum(map(preference, further[r.right])):
+                    further[r.right] = own
+        seen.update(further)
+        reached = further
+    if goal in reached:
+        return reached[goal]
     raise PlanError("missing_join_path", f"nothing joins {goal} to {sorted(start)}")
 
 
@@ -167,8 +203,25 @@ def entities(plan: Plan) -> list[str]:
     return list(dict.fromkeys(n for n in named if n))
 
 
-def validate(plan: Plan, tables: dict[str, DataFrame]) -> None:
-    """Raise PlanError for names, operators, types and caps that are not right."""
+def known_literals(plan: Plan, values: DataFrame) -> None:
+    """Raise PlanError for a text operand of = , <>, in or not in that is no known value
+    of its field, where values (entity, field, value) knows any. Asks for the plan's own
+    operands alone, so a value table of any size stays where it is."""
+    asked = [(c.entity, c.field, v) for c in (*plan.where, *plan.any_of) if SYNONYMS.get(c.op.lower(), c.op.lower()) in ("=", "<>", "in", "not in") for v in c.operands if isinstance(v, str)]
+    if not asked:
+        return
+    wanted = reduce(lambda a, b: a | b, ((F.col("entity") == e) & (F.col("field") == f) for e, f in {a[:2] for a in asked}))
+    given = F.col("value").isin(*{a[2] for a in asked})
+    found = values.filter(wanted).groupBy("entity", "field").agg(F.collect_set(F.when(given, F.col("value"))).alias("have")).collect()
+    have = {(r["entity"], r["field"]): r["have"] for r in found}
+    for e, f, v in asked:
+        if (e, f) in have and v not in have[e, f]:
+            raise PlanError("unknown_value", f"{v!r} is no value of {e}.{f}")
+
+
+def validate(plan: Plan, tables: dict[str, DataFrame], sensitive: frozenset[str] = frozenset()) -> None:
+    """Raise PlanError for names, operators, types and caps that are not right, and for
+    sensitive entities and fields (entity, or entity.field)."""
     if not entities(plan):
         raise PlanError("empty_plan", "no entity is named")
     for e in entities(plan):
@@ -178,6 +231,9 @@ def validate(plan: Plan, tables: dict[str, DataFrame]) -> None:
     for x in (*plan.items, *plan.group, *conditions):
         if x.field is not None and x.field not in tables[x.entity].columns:
             raise PlanError("unknown_field", f"{x.entity}.{x.field}")
+    named = {*entities(plan), *(f"{x.entity}.{x.field}" for x in (*plan.items, *plan.group, *conditions))}
+    if hit := sorted(named & sensitive):
+        raise PlanError("sensitive", ", ".join(hit))
     for i in plan.items:
         if i.aggregate not in (None, "rate", *AGGREGATES):
             raise PlanError("unknown_aggregate", str(i.aggregate))
@@ -199,9 +255,10 @@ def validate(plan: Plan, tables: dict[str, DataFrame]) -> None:
         raise PlanError("bad_limit", f"{plan.limit}, {plan.offset}")
 
 
-def compiled(plan: Plan, tables: dict[str, DataFrame], relationships: list[Relationship]) -> DataFrame:
+def compiled(plan: Plan, tables: dict[str, DataFrame], relationships: list[Relationship], sensitive: frozenset[str] = frozenset()) -> DataFrame:
     """The plan's DataFrame over tables. Only entities that the plan needs are joined."""
-    validate(plan, tables)
+    plan = resolved(plan, tables)
+    validate(plan, tables, sensitive)
     named = entities(plan)
     column = lambda e, f: F.col(f"`{e}`.`{f}`")
     kinds = {e: dict(tables[e].dtypes) for e in named}

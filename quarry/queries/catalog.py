@@ -32,6 +32,56 @@ def key_orphans(t: Tables) -> DataFrame:
     return catalog.orphans(t.orders, "o_custkey", t.customer.filter("c_acctbal > 0"), "c_custkey")
 
 
+INCLUSION = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("lineitem", "l_partkey", "customer", "c_custkey")]
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", '{c}' AS "column", '{g}' AS target, '{k}' AS target_column, count(DISTINCT {c}) AS n_values, count(DISTINCT {c}) FILTER ({c} IN (SELECT {k} FROM {g})) AS n_found FROM {t}"""
+    for t, c, g, k in INCLUSION))
+def key_inclusion(t: Tables) -> DataFrame:
+    return catalog.key_inclusion({n: getattr(t, n) for n in TABLES}, INCLUSION)
+
+
+COLUMNS = f"""c AS (SELECT table_name AS t, column_name AS c, regexp_replace(column_name, '^[a-z]{{1,2}}_', '') AS name FROM information_schema.columns WHERE table_name IN {TABLES})"""
+
+
+@query(rf"""WITH {COLUMNS}, k AS (SELECT * FROM c WHERE regexp_matches(name, '(id|key|code)$') AND name NOT IN ('id', 'key', 'code'))
+SELECT a.name, a.t AS "left", a.c AS left_column, b.t AS "right", b.c AS right_column FROM k a JOIN k b ON a.name = b.name AND a.t < b.t""")
+def shared_keys(t: Tables) -> DataFrame:
+    return catalog.shared_keys(all_columns(t).select("table", "column"))
+
+
+@query(f"""WITH {COLUMNS}, v AS (SELECT 'customer.c_mktsegment' AS name, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS "values" FROM customer
+UNION ALL SELECT 'region.r_name', array_to_string(list_sort(list(DISTINCT r_name)), ',') FROM region)
+SELECT c.t AS "table", c.c AS "column", coalesce(v."values", '') AS "values", c.c IN {tuple(KEYS.values())} AS is_key FROM c LEFT JOIN v ON v.name = c.t || '.' || c.c""")
+def described_fields(t: Tables) -> DataFrame:
+    sample = lambda n, c: getattr(t, n).select(F.lit(n).alias("table"), F.lit(c).alias("column"), F.col(c).alias("value"))
+    primary = t.spark.createDataFrame(sorted(KEYS.items()), "table string, column string")
+    out = catalog.described_fields(all_columns(t), sample("customer", "c_mktsegment").unionByName(sample("region", "r_name")), primary)
+    return out.select("table", "column", F.array_join("values", ",").alias("values"), "is_key")
+
+
+RANKING = r"""w AS (SELECT p_partkey AS question, unnest(list_distinct(string_split(trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')), ' '))) AS word FROM part),
+l AS (SELECT DISTINCT p_type AS target, list_distinct(string_split(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')), ' ')) AS ws FROM part),
+s AS (SELECT w.question, l.target, count(*)::DOUBLE / len(l.ws) AS score FROM w JOIN (SELECT target, ws, unnest(ws) AS word FROM l) l USING (word) GROUP BY w.question, l.target, l.ws),
+r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, target) AS place FROM s)"""
+
+
+@query(f"""WITH {RANKING} SELECT question, target, round(score, 6) AS score, place FROM r WHERE place <= 3""")
+def label_overlap(t: Tables) -> DataFrame:
+    asked = t.part.select(F.col("p_partkey").alias("question"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    labels = t.part.select(F.col("p_type").alias("target"), F.col("p_type").alias("label")).distinct()
+    return catalog.overlap_ranking(asked, labels, 3).withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT o_orderkey AS question, CASE o_orderstatus WHEN 'O' THEN 'orders.ordered' WHEN 'F' THEN 'orders.shipped' END AS target, o_orderstatus NOT IN ('O', 'F') AS ambiguous FROM orders""")
+def date_anchors(t: Tables) -> DataFrame:
+    said = F.when(F.col("o_orderstatus") == "O", "orders ordered last month").when(F.col("o_orderstatus") == "F", "what was shipped on a date?").otherwise("any date this year")
+    fields = [("orders.ordered", "ordered date", "date"), ("orders.shipped", "shipped date", "timestamp"), ("orders.note", "date ordered shipped year", "string")]
+    out = catalog.anchors(t.orders.select(F.col("o_orderkey").alias("question"), said.alias("text")), t.spark.createDataFrame(fields, "target string, label string, type string"))
+    return out.select("question", "target", "ambiguous")
+
+
 @query("""SELECT DISTINCT p_brand AS value FROM part WHERE p_brand IS NOT NULL ORDER BY lower(p_brand), p_brand LIMIT 50""")
 def sample_distinct_values(t: Tables) -> DataFrame:
     return distinct_values(t.part, "p_brand", 50)

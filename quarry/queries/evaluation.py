@@ -77,6 +77,31 @@ def statement_features(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", *ev.text_features(t.conversations))
 
 
+def written(t: Tables) -> DataFrame:
+    """A statement per order, of a shape that follows its priority."""
+    price, year = F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.year("o_orderdate").cast("string")
+    texts = {
+        "1-URGENT": ("SELECT a, max(b, 1)  FROM orders WHERE p > ", price, " AND note = 'it''s -1, from here'"), "2-HIGH": ("SELECT a FROM orders UNION SELECT b FROM part WHERE y = ", year),
+        "3-MEDIUM": ("WITH x AS (SELECT ", year, ") SELECT * FROM x"), "4-NOT SPECIFIED": ("SELECT p * ", year, ", q FROM orders LEFT JOIN Part ON k = l"),
+    }
+    out = F.concat(F.lit("SELECT n FROM orders WHERE k IN (SELECT j FROM lineitem WHERE p = "), price, F.lit(")"))
+    for priority, parts in texts.items():
+        out = F.when(F.col("o_orderpriority") == priority, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))).otherwise(out)
+    return t.orders.select("o_orderkey", out.alias("text"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN NULL WHEN '2-HIGH' THEN 'set_op' WHEN '3-MEDIUM' THEN 'cte' WHEN '4-NOT SPECIFIED' THEN 'join' ELSE 'subquery' END AS skip,
+CASE o_orderpriority WHEN '1-URGENT' THEN 'SELECT a, max(b, ?) FROM orders WHERE p > ? AND note = ?' END AS skeleton FROM orders""")
+def statement_skeletons(t: Tables) -> DataFrame:
+    return ev.skeletons(written(t)).select("o_orderkey", "skip", "skeleton")
+
+
+@query("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'orders' WHEN '2-HIGH' THEN 'orders,part' WHEN '3-MEDIUM' THEN 'x' WHEN '4-NOT SPECIFIED' THEN 'orders,part' ELSE 'lineitem,orders' END AS tables,
+CASE WHEN o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED') THEN 2 ELSE 1 END AS projections, o_orderpriority = '4-NOT SPECIFIED' AS has_arithmetic FROM orders""")
+def statement_structure(t: Tables) -> DataFrame:
+    return written(t).select("o_orderkey", *ev.structure_features()).withColumn("tables", F.array_join("tables", ","))
+
+
 @query(rf"""WITH {STATEMENTS} SELECT count(*) AS texts, count(*) FILTER (key IN (SELECT key FROM s WHERE turn = 0)) AS overlap, round(avg(len(regexp_extract_all(text, '\S+'))), 6) AS mean_tokens FROM s""")
 def corpus_statistics(t: Tables) -> DataFrame:
     return ev.corpus_stats(t.conversations, t.conversations.filter("turn = 0")).select("texts", "overlap", F.round("mean_tokens", 6).alias("mean_tokens"))
