@@ -186,6 +186,28 @@ def shown_columns(profiled: list, kinds_: dict[str, str], rows: int, most: int =
     return [r["column"] for r in sorted(open_, key=lambda r: (-worth(r), r["column"]))[:most]]
 
 
+#: Fixed value: columns that a question's own words may bring.
+MOST_ASKED = 6
+
+
+def asked_columns(questions: DataFrame, columns: list[str], kinds_: dict[str, str], default: list[str], asked: str = "text") -> DataFrame:
+    """questions with columns: those whose label shares a word with the question, in the
+    sheet's order, at most MOST_ASKED. A number's whole label must stand in the question;
+    sensitive columns are never shown. default where there is none."""
+    said = F.concat(F.lit(" "), text.normalized(F.coalesce(F.col(asked), F.lit(""))), F.lit(" "))
+    rows = questions.withColumn("__said", said)
+
+    def named(c: str) -> Column:
+        words = re.findall("[a-z0-9]+", c.lower())
+        whole = kinds_[c] == "number"
+        hit = [F.contains("__said", F.lit(f" {w} ")) for w in ([" ".join(words)] if whole else words)]
+        return F.when(reduce(lambda a, b: a | b, hit, F.lit(False)), F.lit(c))
+
+    found = F.slice(F.array_compact(F.array(*(named(c) for c in columns if not SENSITIVE.search(c)))), 1, MOST_ASKED)
+    rows = rows.withColumn("__found", found)
+    return rows.withColumn("columns", F.when(F.size("__found") > 0, F.col("__found")).otherwise(F.array(*map(F.lit, default)))).drop("__said", "__found")
+
+
 def suggestions(profiled: list, kinds_: dict[str, str]) -> list[str]:
     """Questions that the columns invite: a measure by a category, by month, a count."""
     rows = {r["column"]: r for r in profiled if not SENSITIVE.search(r["column"])}

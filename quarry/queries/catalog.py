@@ -198,3 +198,13 @@ def phrases_in_questions(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", asked.alias("text"))
     said, when = questions.comparison(F.col("text")), questions.window(F.col("text"))
     return rows.select("o_orderkey", said["op"].alias("op"), said["low"].alias("low"), questions.row_limit(F.col("text")).alias("n"), F.date_format(when["start"], "yyyy-MM-dd").alias("start"))
+
+
+@query("""SELECT o_orderkey, CAST(CASE WHEN o_orderstatus = 'F' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS VARCHAR) AS start,
+CAST(CASE o_orderstatus WHEN 'F' THEN CAST(o_orderdate AS DATE) WHEN 'P' THEN CAST(o_orderdate AS DATE) + 1 END AS VARCHAR) AS "end" FROM orders""")
+def days_in_questions(t: Tables) -> DataFrame:
+    named = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("orders before "), F.date_format("o_orderdate", "MMMM d, yyyy")))
+    named = named.when(F.col("o_orderstatus") == "P", F.concat(F.lit("orders on "), F.date_format("o_orderdate", "M/d/yyyy"))).otherwise(F.concat(F.lit("orders since "), F.date_format("o_orderdate", "yyyy-MM-dd")))
+    when = questions.day_window(F.col("text"))
+    rows = t.orders.select("o_orderkey", named.alias("text")).select("o_orderkey", when.alias("w"))
+    return rows.select("o_orderkey", F.col("w.start").cast("string").alias("start"), F.col("w.end").cast("string").alias("end"))

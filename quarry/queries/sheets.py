@@ -84,3 +84,11 @@ def normalized_text(t: Tables) -> DataFrame:
 @query(r"""SELECT count(*) AS n FROM part WHERE contains(' ' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) || ' ', ' red ')""")
 def phrase_in_text(t: Tables) -> DataFrame:
     return t.part.filter(text.has_phrase(text.normalized(F.col("p_name")), F.lit("red"))).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, CASE WHEN contains(p_type, 'BRASS') THEN 'p_brand,p_size' WHEN contains(p_type, 'STEEL') THEN 'p_type' ELSE 'p_name' END AS columns FROM part""")
+def sheet_columns_asked(t: Tables) -> DataFrame:
+    said = F.when(F.contains("p_type", F.lit("BRASS")), "Brand and P-size of each?").when(F.contains("p_type", F.lit("STEEL")), "every type, by size").otherwise("what is there")
+    asked = t.part.select("p_partkey", said.alias("text"))
+    out = sheet.asked_columns(asked, ["p_name", "p_brand", "p_type", "p_size"], KINDS, ["p_name"])
+    return out.select("p_partkey", F.array_join("columns", ",").alias("columns"))

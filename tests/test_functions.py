@@ -124,6 +124,18 @@ def test_phrases_of_questions(spark):
     assert applied(spark, questions.presence, ["rows without a date", "users with email", "users"]) == ["blank", "present", None]
 
 
+def test_comparisons_limits_and_days_of_questions(spark):
+    cases = {"price not less than 5": "ge 5.0", "n >= -3": "ge -3.0", "x<>4": "ne 4.0", "between -5 to 5": "between -5.0 5.0", "greater than or equal to 2": "ge 2.0", "not greater than 7": "le 7.0", "discover 9": None, "n=1": "eq 1.0"}
+    said = lambda c: F.when(questions.comparison(c).isNotNull(), F.concat_ws(" ", questions.comparison(c)["op"], questions.comparison(c)["low"], questions.comparison(c)["high"]))
+    assert applied(spark, said, list(cases)) == list(cases.values())
+    assert applied(spark, questions.row_limit, ["which 5 regions", "recent 3 orders", "show 10", "last 7 days", "list 4 names", None]) == [5, 3, 10, None, 4, None]
+    days = {"since 2024-02-29": "2024-02-29..", "before March 5, 2024": "..2024-03-05", "on 12/31/2023": "2023-12-31..2024-01-01", "on 2/30/2023": None, "in 2024": None, None: None}
+    window = lambda c: F.when(questions.day_window(c).isNotNull(), F.concat(*(F.coalesce(x.cast("string"), F.lit("")) for x in (questions.day_window(c)["start"], F.lit(".."), questions.day_window(c)["end"]))))
+    assert applied(spark, window, list(days)) == list(days.values())
+    sign = lambda c: F.concat_ws(" ", questions.sign(c, F.lit("now"))["op"], questions.sign(c, F.lit("now"))["operand"])
+    assert applied(spark, sign, ["negative balances", "positive", "overdue bills", "all"]) == ["< 0", "> 0", "< now", ""]
+
+
 def test_fragments_are_grounded(spark, tmp_path):
     (tmp_path / "v.jsonl").write_text('{"term": "sales", "target": "orders"}\n{"term": "ghost", "target": "nowhere"}\nnot json\n{"term": " ", "target": "orders"}\n')
     (tmp_path / "d.csv").write_text('original_column_name,column_name,column_description\no_id,order id,"the ""key"""\nzz,other,other\n')

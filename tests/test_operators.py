@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from quarry.functions import dates
 from quarry.jobs import catalog, evaluation
 from quarry.operators import relational, scope, sheet
 from quarry.operators.sheet import Filter
-from quarry.plans.query import Condition, Item, Plan, PlanError, Relationship, chart, compiled, join_path, shape
+from quarry.plans.query import Condition, Item, Plan, PlanError, Relationship, chart, compiled, join_path, known_literals, shape
 from quarry.sources.store import Store
 from quarry.streaming.events import windowed_counts
 
@@ -125,6 +127,56 @@ def test_join_paths():
         join_path(edges[:1], {"a"}, "c")
 
 
+def test_preferred_paths():
+    edges = [Relationship("a", "id", "b", "id"), Relationship("b", "k", "d", "k"), Relationship("a", "uuid", "c", "uuid"), Relationship("c", "k", "d", "k")]
+    assert [r.right for r in join_path(edges, {"a"}, "d")] == ["c", "d"]
+    assert [r.right for r in join_path([*edges, Relationship("a", "id", "d", "id")], {"a"}, "d")] == ["d"]  # shorter still comes first
+
+
+def test_fields_without_an_entity(business):
+    t, edges = business
+    plan = Plan(items=(Item("", "amount", "sum", "total"),), where=(Condition("", "paid_on", "is not null"),))
+    assert compiled(plan, t, edges).first()["total"] is not None
+    with pytest.raises(PlanError, match="ambiguous_field"):
+        compiled(Plan(items=(Item("", "id"),)), t, edges)
+    with pytest.raises(PlanError, match="unknown_field"):
+        compiled(Plan(items=(Item("", "ghost"),)), t, edges)
+
+
+def test_sensitive_and_unknown_literals(spark, business):
+    t, edges = business
+    plan = Plan(items=(Item("accounts", "id"),), where=(Condition("accounts", "name", "=", ("nobody",)),))
+    for closed in ("accounts", "accounts.name"):
+        with pytest.raises(PlanError, match="sensitive"):
+            compiled(plan, t, edges, frozenset({closed}))
+    known = spark.createDataFrame([("accounts", "name", "a"), ("accounts", "name", "b")], "entity string, field string, value string")
+    with pytest.raises(PlanError, match="unknown_value"):
+        known_literals(plan, known)
+    known_literals(plan, known.limit(0))  # nothing is known of the field
+    known_literals(replace(plan, where=(Condition("accounts", "name", "in", ("a", "b")),)), known)
+
+
+def test_declared_keys_of_several_columns(spark):
+    usage = spark.createDataFrame([("s", "pk", "a", "x", 1), ("s", "pk", "a", "y", 2), ("s", "fk", "b", "ax", 1), ("s", "fk", "b", "ay", 2), ("other", "fk", "c", "z", 1)], "schema string, constraint string, table string, column string, position int")
+    references = spark.createDataFrame([("s", "fk", "s", "pk")], "schema string, constraint string, target_schema string, target_constraint string")
+    assert sorted(map(tuple, catalog.declared_keys(usage, references).collect())) == [("b", "ax", "a", "x"), ("b", "ay", "a", "y")]
+    assert catalog.declared_keys(usage.limit(0), references).count() == 0
+
+
+def test_names_shared_by_many_join_none(spark):
+    many = spark.createDataFrame([(f"t{k}", "part_id") for k in range(9)] + [("t0", "code"), ("t1", "code"), ("t0", "order_id"), ("t1", "order_id"), ("t0", None)], "table string, column string")
+    assert [r["name"] for r in catalog.shared_keys(many).collect()] == ["order_id"]
+
+
+def test_structure_and_skeletons_of_odd_statements(spark):
+    texts = [None, "", "DELETE FROM t", "select count(*), f(a, g(b, c)) from T where x = 'a from z'", "SELECT DISTINCT * FROM a JOIN b ON i = j", "SELECT 1"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, text string")
+    out = evaluation.skeletons(df).select("k", "skip", "skeleton", *evaluation.structure_features()).orderBy("k").collect()
+    assert [r["skip"] for r in out] == ["other", "other", "other", None, None, None]
+    assert out[3]["skeleton"] == "select count(*), f(a, g(b, c)) from T where x = ?" and out[5]["skeleton"] == "SELECT ?"
+    assert [(r["tables"], r["projections"], r["has_arithmetic"]) for r in out] == [([], 0, False), ([], 0, False), (["t"], 0, False), (["t"], 2, False), (["a", "b"], 1, False), ([], 0, False)]
+
+
 @pytest.mark.parametrize(("field", "op", "operand", "ids"), [
     ("n", ">", "1.5", [2, 3]), ("n", "=", 2, [2]), ("n", "in", ("1", 3), [1, 3]), ("n", "between", "1..2", [1, 2]), ("n", ">", "abc", None), ("n", "=", True, None), ("n", "=", None, None),
     ("d", ">=", "2024-01-02", [2, 3]), ("d", "<", "2024-01-02 12:00", [1, 2]), ("d", "between", "2024-01-01 to 2024-01-02", [1, 2]), ("d", ">", "soon", None), ("d", ">", "2024-13-01", None), ("d", "=", 5, None),
