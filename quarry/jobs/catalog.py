@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.text import normalized
+from quarry.functions.text import matches, normalized
 
 
 def key_stem(column: Column) -> Column:
@@ -217,8 +217,8 @@ def biased_ranking(candidates: DataFrame, hints: dict[str, float], k: int) -> Da
 
 def matched_intents(questions: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
     """questions with intents: the names of patterns (regular expressions without
-    regard to case) that the text matches, in order of name."""
-    hits = [F.when(F.coalesce(F.col(text), F.lit("")).rlike(f"(?i){p}"), F.lit(n)) for n, p in sorted(patterns.items())]
+    regard to case, \\b at ASCII words) that the text matches, in order of name."""
+    hits = [F.when(matches(F.coalesce(F.col(text), F.lit("")), p), F.lit(n)) for n, p in sorted(patterns.items())]
     return questions.withColumn("intents", F.array_compact(F.array(*hits)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.text import collapsed
+from quarry.functions.text import ascii_edges, collapsed, matches
 
 #: Gold from which a target is relevant.
 RELEVANT = 0.5
@@ -74,10 +74,10 @@ def ablation(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 def text_features(texts: DataFrame, text: str = "text") -> list[Column]:
     """Features of statements: clause flags, numbers, quoted literals, tokens."""
     t = F.coalesce(F.col(text), F.lit(""))
-    flag = lambda word: t.rlike(rf"(?i)\b{word}\b")
+    flag = lambda word: matches(t, rf"\b{word}\b")
     return [
         *(flag(w).alias(f"has_{w}") for w in ("join", "where", "order", "limit", "group", "having")),
-        F.size(F.regexp_extract_all(t, F.lit(r"\b\d+(?:\.\d+)?\b"), F.lit(0))).alias("numbers"),
+        F.size(F.regexp_extract_all(t, F.lit(ascii_edges(r"\b\d+(?:\.\d+)?\b")), F.lit(0))).alias("numbers"),
         F.size(F.regexp_extract_all(t, F.lit(r"'[^']*'"), F.lit(0))).alias("literals"),
         F.size(F.filter(F.split(t, r"\s+"), lambda x: x != "")).alias("tokens"),
     ]

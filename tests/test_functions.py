@@ -44,6 +44,16 @@ def test_timestamps(spark):
     assert applied(spark, values.timestamp, list(cases)) == list(cases.values())
 
 
+def test_edges_and_case_of_patterns(spark):
+    """As RE2, by which DuckDB matches: \\b stands at ASCII words, letters fold simply."""
+    import duckdb
+
+    texts = ["öno", "nó", "noö", "no", "ano", "no_", "x\u0301no", "\u0660no", "mıssing", "mİssing", "miſſing", "MISSING", "a\\no", "", None]
+    for pattern in (r"\b(without|missing|no)\b", r"\Bno\b", r"\\no"):
+        (want,) = duckdb.execute("SELECT list_transform(?::VARCHAR[], lambda x: regexp_matches(x, ?))", [texts, f"(?i){pattern}"]).fetchone()
+        assert applied(spark, lambda c, p=pattern: text.matches(c, p), texts) == want, pattern
+
+
 def test_normalized_text(spark):
     cases = {"Café & Bar!": "cafe and bar", "  A--b ": "a b", "": "", None: None, "ﬁn": "fin"}
     assert applied(spark, text.normalized, list(cases)) == list(cases.values())

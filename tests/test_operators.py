@@ -297,6 +297,16 @@ def test_evaluation_edges(spark):
     assert evaluation.stride_subset(spark.range(0), "id", 10).count() == 0
 
 
+def test_words_next_to_other_letters_in_questions_and_statements(spark):
+    from quarry.queries.catalog import PATTERNS
+
+    rows = spark.createDataFrame([(1, "die öbest ist"), (2, "ñno a bestü"), (3, "liſt me"), (4, "mıssing"), (5, "pre\u00e4join 7ü"), (6, None)], "k int, text string")
+    got = catalog.matched_intents(rows, PATTERNS).orderBy("k").collect()
+    assert [r["intents"] for r in got] == [["top"], ["missing", "top"], ["list"], [], [], []]
+    (r,) = rows.filter("k = 5").select(*evaluation.text_features(rows)).collect()
+    assert r["has_join"] and r["numbers"] == 1
+
+
 def test_vocabulary_conflicts(spark):
     rows = [("sale", "orders", 1, 0.9, "f"), ("sale", "orders", 2, 0.1, "g"), ("sale", "invoices", 2, 0.5, "h"), ("user", "users", 1, 0.5, "b"), ("user", "users", 1, 0.5, "a")]
     df = spark.createDataFrame(rows, "term string, target string, layer int, confidence double, source string")
