@@ -20,19 +20,37 @@ def places(ranked: DataFrame) -> DataFrame:
     return ranked.withColumns({"place": F.row_number().over(by_score), "ideal": F.row_number().over(by_gold)})
 
 
-def recall_at(ranked: DataFrame, k: int) -> DataFrame:
+def relevant_targets(vectors: DataFrame, questions: DataFrame) -> DataFrame:
+    """(question, relevant): how many targets have a question's label, itself apart, of
+    vectors (target, label) and questions (question, label); counted without pairs."""
+    targets = vectors.filter("target IS NOT NULL")
+    n = targets.groupBy("label").agg(F.count("*").alias("n"))
+    own = targets.groupBy(F.col("target").alias("question"), "label").agg(F.count("*").alias("own"))
+    met = questions.select("question", "label").join(n, "label").join(own, ["question", "label"], "left")
+    return met.groupBy("question").agg(F.sum(F.col("n") - F.coalesce("own", F.lit(0))).alias("relevant"))
+
+
+def recall_at(ranked: DataFrame, k: int, relevant: DataFrame | None = None) -> DataFrame:
     """(question, recall): share of a question's relevant targets among its first k;
-    questions without relevant targets are left out."""
+    questions without relevant targets are left out. With relevant (question, relevant),
+    the numbers of them, ranked needs to hold no more than the first k."""
     hit = F.col("gold") >= RELEVANT
     out = places(ranked).groupBy("question").agg(F.count_if(hit).alias("relevant"), F.count_if(hit & (F.col("place") <= k)).alias("found"))
+    out = out if relevant is None else out.drop("relevant").join(relevant, "question")
     return out.filter("relevant > 0").select("question", (F.col("found") / F.col("relevant")).alias("recall"))
 
 
-def ndcg_at(ranked: DataFrame, k: int) -> DataFrame:
+def ndcg_at(ranked: DataFrame, k: int, relevant: DataFrame | None = None) -> DataFrame:
     """(question, ndcg): discounted gain of the first k over that of the best order;
-    questions whose best order gains nothing are left out."""
+    questions whose best order gains nothing are left out. With relevant (question,
+    relevant), the numbers of targets of gold 1 where others have 0, ranked needs to
+    hold no more than the first k."""
     gain = lambda at: F.sum(F.when(F.col(at) <= k, F.col("gold") / F.log2(F.col(at) + 1)).otherwise(0.0))
     out = places(ranked).groupBy("question").agg(gain("place").alias("own"), gain("ideal").alias("best"))
+    if relevant is not None:
+        first = F.when(F.col("relevant") > 0, F.sequence(F.lit(1), F.least("relevant", F.lit(k)).cast("int")))
+        best = F.aggregate(first, F.lit(0.0), lambda s, n: s + 1 / F.log2(n + 1))
+        out = out.select("question", "own").join(relevant, "question").withColumn("best", best)
     return out.filter("best > 0").select("question", (F.col("own") / F.col("best")).alias("ndcg"))
 
 

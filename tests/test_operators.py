@@ -307,6 +307,75 @@ def test_words_next_to_other_letters_in_questions_and_statements(spark):
     assert r["has_join"] and r["numbers"] == 1
 
 
+def odd_vectors():
+    """Copies, ties by rounding, a repeated row, nulls and what is no number."""
+    import random
+
+    rng = random.Random(5)
+    near = [[rng.choice((0.0, 0.5, 1.0)) for _ in range(3)] for _ in range(12)]
+    vectors = [[x + rng.choice((0.0, 1e-7, 3e-7)) for x in rng.choice(near)] for _ in range(300)]
+    rows = [(k, vectors[k], rng.choice((1, 2, 3, None))) for k in range(300)] + [(50, vectors[50], 1), (100, vectors[1], 2), (7, vectors[7], 3), (None, vectors[2], 1)]
+    rows[11], rows[150], rows[12] = (11, None, 1), (150, None, 2), (12, [float("nan"), 1.0, 1.0], 1)
+    rows[13], rows[200], rows[14] = (13, [float("inf"), 1.0, 0.0], 2), (200, [1e20, -1e20, 3.0], 3), (14, [1e20, 1e20, 1.0], 3)
+    rows[50] = (50, vectors[50], 1)
+    return rows
+
+
+@pytest.mark.parametrize("rows, questions, tile", [(16_384, 4_096, 2_000_000), (40, 3, 50), (5, 2, 2_000_000)])
+def test_nearest_of_blocks_as_by_sql(spark, monkeypatch, tmp_path, rows, questions, tile):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from quarry.jobs import nearest
+    from quarry.queries import ORACLE, QUERIES
+
+    monkeypatch.setattr(nearest, "ROWS", rows)
+    monkeypatch.setattr(nearest, "QUESTIONS", questions)
+    monkeypatch.setattr(nearest, "TILE", tile)  # seen by the direct call below, not by tasks
+    made = odd_vectors()
+    table = pa.table({"vec_id": pa.array([r[0] for r in made], "int64"), "embedding": pa.array([r[1] for r in made], pa.list_(pa.float32())), "label": pa.array([r[2] for r in made], "int32")})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.register("embeddings", table)
+    for name in ("recall_at_10", "ndcg_at_10"):
+        got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+        assert got == sorted(con.sql(ORACLE[name]).fetchall()), name
+    sql = """SELECT question, target, score FROM (SELECT q.vec_id AS question, e.vec_id AS target, round(list_dot_product(e.v, q.v), 6) AS score,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(e.v, q.v), 6) DESC, e.vec_id) AS place
+        FROM e, e AS q WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id) WHERE place <= 4"""
+    con.execute("CREATE VIEW e AS SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings")
+    e = spark.read.parquet(str(tmp_path / "embeddings.parquet")).selectExpr("vec_id AS target", "embedding AS vector", "label")
+    q = e.filter("target % 50 = 0").withColumnRenamed("target", "question")
+    got = nearest.nearest(e, q, 4).select("question", "target", "score").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.sql(sql).fetchall()))
+    a = table.rename_columns(["id", "vector", "label"]).filter(pa.compute.is_valid(table["vec_id"]))
+    b = a.filter(pa.array([x % 50 == 0 for x in a["id"].to_pylist()]))
+    own = nearest.best_pairs(a, b, 400)
+    assert len(own) == sum(x != y for x in a["id"].to_pylist() for y in b["id"].to_pylist())
+
+
+def test_nearest_refuses_vectors_that_sql_refuses(spark):
+    import pyarrow as pa
+
+    from quarry.jobs.nearest import best_pairs
+
+    made = lambda *v: pa.table({"id": list(range(len(v))), "vector": pa.array(v, pa.list_(pa.float32())), "label": [1] * len(v)})
+    for bad in (made([1.0, 2.0], [1.0]), made([1.0, None])):
+        with pytest.raises(ValueError):
+            best_pairs(bad, made([1.0, 2.0]), 1)
+    assert len(best_pairs(made(), made([1.0]), 1)) == len(best_pairs(made([1.0]), made(), 1)) == 0
+    assert best_pairs(made(None), made(None, [1.0]), 1).to_pylist() == [{"question": 1, "target": 0, "score": None, "gold": True}]
+
+
+def test_searched_pairs_are_met_in_blocks(spark):
+    """No join of all pairs as rows: what is shuffled are vectors, and k rows a block."""
+    from quarry.queries import QUERIES
+
+    plan = QUERIES["recall_at_10"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
 def test_vocabulary_conflicts(spark):
     rows = [("sale", "orders", 1, 0.9, "f"), ("sale", "orders", 2, 0.1, "g"), ("sale", "invoices", 2, 0.5, "h"), ("user", "users", 1, 0.5, "b"), ("user", "users", 1, 0.5, "a")]
     df = spark.createDataFrame(rows, "term string, target string, layer int, confidence double, source string")
