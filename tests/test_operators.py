@@ -376,6 +376,20 @@ def test_searched_pairs_are_met_in_blocks(spark):
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "FlatMapCoGroupsInArrow" in plan
 
 
+def test_metrics_of_the_first_places_and_counts_are_those_of_all_pairs(spark):
+    from quarry.jobs.nearest import nearest
+
+    rows = [r for r in odd_vectors() if r[0] is not None and r[1] is not None and 11 < r[0] < 140 and r[0] not in (12, 13, 14)]
+    e = spark.createDataFrame(rows, "target long, vector array<float>, label int")
+    q = e.filter("target % 10 = 0").withColumnRenamed("target", "question")
+    full = nearest(e, q, len(rows)).withColumn("gold", F.col("gold").cast("double")).cache()
+    first, relevant = nearest(e, q, 3).withColumn("gold", F.col("gold").cast("double")), evaluation.relevant_targets(e, q)
+    for metric, name in ((evaluation.ndcg_at, "ndcg"), (evaluation.recall_at, "recall")):
+        of = lambda df: {r["question"]: round(r[name], 9) for r in df.collect()}  # noqa: B023, E731
+        want = of(metric(full, 3))
+        assert len(set(want.values())) > 2 and of(metric(first, 3, relevant)) == want
+
+
 def test_vocabulary_conflicts(spark):
     rows = [("sale", "orders", 1, 0.9, "f"), ("sale", "orders", 2, 0.1, "g"), ("sale", "invoices", 2, 0.5, "h"), ("user", "users", 1, 0.5, "b"), ("user", "users", 1, 0.5, "a")]
     df = spark.createDataFrame(rows, "term string, target string, layer int, confidence double, source string")
