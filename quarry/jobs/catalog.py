@@ -90,14 +90,30 @@ def described_fields(fields: DataFrame, samples: DataFrame, keys: DataFrame) ->
     return met.select("table", "column", "type", F.coalesce("values", F.array().cast("array<string>")).alias("values"), F.col("there").isNotNull().alias("is_key"))
 
 
-def overlap_ranking(questions: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+#: Questions, about, that a task ranks, and tasks at most: to more of them Spark would
+#: write only what it has held and sorted.
+DEALT, TASKS = 30_000, 200
+
+
+def shares(questions: DataFrame) -> int:
+    """Tasks that questions are dealt to, and so the rows of a frequent word."""
+    return min(TASKS, max(1, -(-questions.count() // DEALT)))
+
+
+def overlap_ranking(questions: DataFrame, labels: DataFrame, k: int, parts: int | None = None) -> DataFrame:
     """(question, target, score, place): the k targets whose labels share most words
     with a question, of questions (question, text) and labels (target, label). score is
-    the share of a label's distinct words that the text has; ties go by target."""
+    the share of a label's distinct words that the text has; ties go by target. The
+    result is dealt by question to parts tasks, as many as shares() says by default."""
+    parts = parts or shares(questions)
     words = lambda c: F.array_distinct(F.filter(F.split(normalized(F.coalesce(F.col(c), F.lit(""))), " "), lambda w: w != ""))
-    asked = questions.select("question", F.explode(words("text")).alias("word"))
+    # by word and part, so that a frequent word is no large group; then by question before
+    # anything is counted. Numbers are given, as Spark would put small rows by the million together
+    asked = questions.select("question", F.explode(words("text")).alias("word"), F.pmod(F.xxhash64("question"), F.lit(parts)).alias("part"))
     known = labels.select("target", words("label").alias("w")).select("target", F.size("w").alias("size"), F.explode("w").alias("word"))
-    shared = asked.join(known, "word").groupBy("question", "target", "size").agg(F.count("*").alias("n"))
+    known = known.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    met = asked.repartition(parts, "word", "part").join(known.repartition(parts, "word", "part"), ["word", "part"])
+    shared = met.select("question", "target", "size").repartition(parts, "question").groupBy("question", "target", "size").agg(F.count("*").alias("n"))
     scored = shared.select("question", "target", (F.col("n") / F.col("size")).alias("score"))
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "target"))
     return scored.withColumn("place", place).filter(F.col("place") <= k)
@@ -109,8 +125,9 @@ def anchors(questions: DataFrame, fields: DataFrame) -> DataFrame:
     one date field alone, that is the one."""
     dated = fields.filter(F.col("type").isin("date", "timestamp", "timestamp_ntz"))
     only = dated.agg(F.when(F.count("*") == 1, F.first("target")).alias("only"))
-    best = overlap_ranking(questions, dated, 2).groupBy("question").agg(F.array_sort(F.collect_list(F.struct("place", "target", "score"))).alias("b"))
-    met = questions.join(best, "question", "left").crossJoin(F.broadcast(only))  # one row
+    parts = shares(questions)
+    best = overlap_ranking(questions, dated, 2, parts).groupBy("question").agg(F.array_sort(F.collect_list(F.struct("place", "target", "score"))).alias("b"))
+    met = questions.repartition(parts, "question").join(best, "question", "left").crossJoin(F.broadcast(only))  # one row
     tied = F.coalesce(F.get("b", F.lit(0))["score"] == F.get("b", F.lit(1))["score"], F.lit(False))
     target = F.coalesce(F.when(~tied, F.get("b", F.lit(0))["target"]), F.when(F.col("b").isNull(), F.col("only")))
     return met.select(*questions.columns, target.alias("target"), tied.alias("ambiguous"))

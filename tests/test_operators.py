@@ -390,6 +390,23 @@ def test_metrics_of_the_first_places_and_counts_are_those_of_all_pairs(spark):
         assert len(set(want.values())) > 2 and of(metric(first, 3, relevant)) == want
 
 
+def test_a_word_of_all_questions_is_dealt_to_many_tasks(spark, monkeypatch):
+    import re
+
+    monkeypatch.setattr(catalog, "DEALT", 100, raising=False)
+    texts = F.when(F.col("id") % 3 == 0, "ordered date").when(F.col("id") % 3 == 1, "shipped date").otherwise("any date")
+    questions = spark.range(3000).select(F.col("id").alias("question"), texts.alias("text"))
+    fields = spark.createDataFrame([("o", "ordered date", "date"), ("s", "shipped date", "date"), ("n", "ordered", "string")], "target string, label string, type string")
+    ranking = catalog.overlap_ranking(questions, fields.select("target", "label"), 2)
+    plan = ranking._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(word" in plan and not re.search(r"hashpartitioning\(word#\d+, \d+\)", plan)
+    held = [r["count"] for r in ranking.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 6000 and max(held) < 1000
+    want = {0: ("o", False), 1: ("s", False), 2: (None, True)}
+    got = catalog.anchors(questions, fields).collect()
+    assert len(got) == 3000 and all((r["target"], r["ambiguous"]) == want[r["question"] % 3] for r in got)
+
+
 def test_vocabulary_conflicts(spark):
     rows = [("sale", "orders", 1, 0.9, "f"), ("sale", "orders", 2, 0.1, "g"), ("sale", "invoices", 2, 0.5, "h"), ("user", "users", 1, 0.5, "b"), ("user", "users", 1, 0.5, "a")]
     df = spark.createDataFrame(rows, "term string, target string, layer int, confidence double, source string")
