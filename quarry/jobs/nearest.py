@@ -60,6 +60,18 @@ def matrices(*columns: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def first_copies(ids: np.ndarray, rows: np.ndarray, null: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows of which some question can need its k best: of equal vectors,
+    whose scores are equal, those of the first k ids and of one that may be the question.
+    ids in order."""
+    same = np.unique(np.ascontiguousarray(np.c_[rows, null]).view(f"V{8 * rows.shape[1] + 8}").ravel(), return_inverse=True)[1]
+    by_copy = np.argsort(same, kind="stable")
+    same, ids = same[by_copy], ids[by_copy]
+    opens = np.r_[True, same[1:] != same[:-1]]
+    count = np.cumsum(opens | np.r_[True, ids[1:] != ids[:-1]])  # of ids, one after another
+    return np.sort(by_copy[count - count[np.flatnonzero(opens)][np.cumsum(opens) - 1] <= k])
+
+
 def rounded(x: np.ndarray) -> np.ndarray:
     """x to DIGITS decimals, halves away from zero, as SQL's round() of a double has it."""
     y = x * 10.0**DIGITS
@@ -77,6 +89,8 @@ def best_pairs(a: pa.Table, b: pa.Table, k: int) -> pa.Table:
         a = a.sort_by("id")
         targets, asked = a["id"].to_numpy(), b["id"].to_numpy()
         (v, v_null), (q, q_null) = matrices(a["vector"], b["vector"])
+        kept = first_copies(targets, v, v_null, k)
+        a, targets, v, v_null = a.take(kept), targets[kept], v[kept], v_null[kept]
         by_place, width = (np.ascontiguousarray(v.T), np.ascontiguousarray(q.T)), v.shape[1]
         # what rounding to digits and the order of adding can change, twice over
         size = lambda x: np.sqrt((x * x).sum(axis=1))

@@ -355,6 +355,33 @@ def test_nearest_of_blocks_as_by_sql(spark, monkeypatch, tmp_path, rows, questio
     assert len(own) == sum(x != y for x in a["id"].to_pylist() for y in b["id"].to_pylist())
 
 
+def test_copies_of_a_vector_are_compared_up_to_the_places_asked_for(monkeypatch):
+    import math
+
+    import pyarrow as pa
+
+    from quarry.jobs import nearest
+
+    copied = [[1.0, 0.5], [0.25, 1.0], [float("nan"), 1.0], None]
+    # a fifth are copies of each, some ids are repeated, in one copy or in two
+    rows = [(n - n % 7 % 2, copied[n % 5] if n % 5 < 4 else [n / 500, 0.1]) for n in range(500)]
+    made = lambda x: pa.table({"id": [r[0] for r in x], "vector": pa.array([r[1] for r in x], pa.list_(pa.float64())), "label": [1] * len(x)})
+    compared, rounded = [], nearest.rounded
+    monkeypatch.setattr(nearest, "rounded", lambda x: compared.append(len(x)) or rounded(x))
+    asked = [r for r in dict(rows).items() if r[0] % 3 == 0]
+    got = nearest.best_pairs(made(rows), made(asked), 4).to_pylist()
+    by_score = lambda p: (p[0] is None, 0 if p[0] is None or math.isnan(p[0]) else 1, 0 if p[0] is None or math.isnan(p[0]) else -p[0], p[1])
+    score = lambda v, q: None if v is None or q is None else round(sum(a * b for a, b in zip(v, q)), 6)
+    for question, vector in asked:
+        want = sorted(((score(v, vector), target) for target, v in rows if target != question), key=by_score)[:4]
+        assert [repr((r["score"], r["target"])) for r in got if r["question"] == question] == list(map(repr, want))
+    same = [(n, [1.0, 0.5]) for n in range(2000)]
+    compared.clear()
+    got = nearest.best_pairs(made(same), made(same[::50]), 4).to_pylist()
+    assert [r["target"] for r in got] == [t for n in range(0, 2000, 50) for t in [x for x in range(6) if x != n][:4]]
+    assert sum(compared) <= 40 * 5
+
+
 def test_nearest_refuses_vectors_that_sql_refuses(spark):
     import pyarrow as pa
 
